@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = (
+    "op4_mixing",
     "op5_chat",
+    "op8_decontamination",
     "op10_licenses",
 )
 
