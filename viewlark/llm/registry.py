@@ -7,6 +7,7 @@ from importlib import import_module
 _MODULES = (
     "op4_mixing",
     "op5_chat",
+    "op6_quality",
     "op8_decontamination",
     "op10_licenses",
 )
