@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = (
     "op2_language_id",
+    "op3_toxicity",
     "op4_mixing",
     "op5_chat",
     "op6_quality",
