@@ -11,6 +11,7 @@ _MODULES = (
     "op5_chat",
     "op6_quality",
     "op8_decontamination",
+    "op9_fingerprints",
     "op10_licenses",
 )
 
