@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = (
+    "op1_token_counts",
     "op2_language_id",
     "op3_toxicity",
     "op4_mixing",
