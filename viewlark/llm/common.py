@@ -59,3 +59,14 @@ def lookup(big: DataFrame, unique: DataFrame, key: str, parts: int = 512) -> Dat
     of_hot = flagged.filter(F.col("_hot")).drop("_hot").join(few, key, "left")
     rest = flagged.filter(F.col("_hot").isNull()).drop("_hot").join(unique, key, "left")
     return of_hot.unionByName(rest)
+
+
+#: So many ids are broadcast at most (some 10 to 20 MB); more are met in a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def select_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (``left_semi``) or isn't (``left_anti``) in ``ids`` (column id, written before)."""
+    few = ids.select(F.col("id").alias("_id")).distinct()
+    side = F.broadcast(few) if ids.count() <= BROADCAST_IDS else few
+    return docs.join(side, F.col("doc_id") == F.col("_id"), how)

@@ -198,6 +198,20 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(measured.withColumn("held_out", held_out), model)
 
 
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    measured = materialise(measure(docs), "statistics")
+    model = fit(labelled(measured, labels, "quality", fold_of(F.col("doc_id"), 5) == 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = np.array([statistics(t) for t in b.column("text").to_pylist()])
+                yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

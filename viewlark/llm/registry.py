@@ -11,6 +11,7 @@ _MODULES = (
     "op4_mixing",
     "op5_chat",
     "op6_quality",
+    "op7_near_dedup",
     "op8_decontamination",
     "op9_fingerprints",
     "op10_licenses",
@@ -21,7 +22,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     found = {name: import_module(f"viewlark.llm.{name}").query for name in _MODULES}
-    return found | ({"pipeline": corpus_pipeline.run} if corpus_pipeline.STAGES else {})
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
