@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import POS, Aggregate, Operator, OrderBy, Pivot
 from ..operators.core import Context, backquoted
 from ..schema import Schema
-from ..tables import Table
+from ..tables import BaseTable, Table
 from ..viewport import ALL, RowRange, Viewport
 
 
@@ -70,9 +70,8 @@ class _Streaming(Context):
     def read(self, table: Table, rows: RowRange) -> DataFrame:
         if not rows.is_all:
             raise ValueError("a stream has no row range")
-        df = table.frame()
         # a stream's results have no order, and the order of a sealed table may be one that streams refuse
-        return df if df.isStreaming else df.withColumn(POS, F.lit(0))
+        return table.unordered().withColumn(POS, F.lit(0)) if isinstance(table, BaseTable) else table.frame()
 
 
 def stream(

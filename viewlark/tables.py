@@ -184,6 +184,7 @@ class BaseTable(Table):
         self._listeners: list[Listener] = []
         self._frame: tuple[int, DataFrame] | None = None
         self._given: DataFrame | None = None
+        self._plain: DataFrame | None = None
 
     @staticmethod
     def create(spark: SparkSession, schema: Schema) -> BaseTable:
@@ -201,14 +202,19 @@ class BaseTable(Table):
         order, or (only safe for small frames) of its partitions.
         """
         shown = schema or Schema.from_spark(T.StructType([f for f in df.schema if f.name != POS]))
+        plain = df.select(*backquoted(shown.names))
         if POS not in df.columns:
             pos = F.struct(*order) if order else F.monotonically_increasing_id()
             df = df.withColumn(POS, pos)
         t = BaseTable(df.sparkSession, shown)
         t._given = df.select(*backquoted(shown.names), POS)
-        t._sealed = True
+        t._plain, t._sealed = plain, True
         return t
 
+    def unordered(self) -> DataFrame:
+        """The rows without any order of theirs."""
+        return self._plain if self._plain is not None else self.frame().drop(POS)
+
     @property
     def version(self) -> int:
         return self._version
