@@ -63,6 +63,14 @@ def decode(text: str | None, kind: str, n: int) -> list | None:
     return list(struct.unpack(f">{n}{ {'D': 'd', 'I': 'i', 'T': 'q'}[kind] }", raw))
 
 
+def _decoder(field: Field, kind: str):  # noqa: ANN202
+    @F.pandas_udf(field.to_spark().dataType)
+    def decoded(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: decode(v, kind, field.array_length))
+
+    return decoded
+
+
 def read_encoded(spark: SparkSession, path: str) -> BaseTable:
     """As ``read``, with Base64 array columns decoded and named without the suffix."""
     df = _load(spark, path)
@@ -74,12 +82,6 @@ def read_encoded(spark: SparkSession, path: str) -> BaseTable:
             fields.append(f)
             continue
         own = Field(m[1], _KINDS[m[2]], int(m[3]))
-        kind, n = m[2], int(m[3])
-
-        @F.pandas_udf(own.to_spark().dataType)
-        def decoded(s: pd.Series, kind: str = kind, n: int = n) -> pd.Series:
-            return s.map(lambda v: decode(v, kind, n))
-
-        columns.append(decoded(F.col(f"`{f.name}`")).alias(own.name, metadata=own.to_spark().metadata))
+        columns.append(_decoder(own, m[2])(F.col(f"`{f.name}`")).alias(own.name, metadata=own.to_spark().metadata))
         fields.append(own)
     return BaseTable.of(df.select(*columns, POS), Schema(fields))
