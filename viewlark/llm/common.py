@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space that separates words: space and U+0009 to U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -61,6 +63,19 @@ def lookup(big: DataFrame, unique: DataFrame, key: str, parts: int = 512) -> Dat
     return of_hot.unionByName(rest)
 
 
+#: Rows that a Python worker gets at a time: texts can be long, and a worker's memory must not depend on how many are.
+BATCH_ROWS = 500
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with small batches, whatever the rows' size; the session keeps the smaller batches."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    now = int(conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 #: So many ids are broadcast at most (some 10 to 20 MB); more are met in a shuffle.
 BROADCAST_IDS = 1_000_000
 

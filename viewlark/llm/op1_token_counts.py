@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, table
+from .common import map_batches, materialise, shared_dir, table
 
 WIDTH, SEPARATOR, BLOCK_BYTES = 2, 50256, 4 << 20
 _encoders: dict = {}
@@ -71,7 +71,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     # the writer takes strings as they are, byte for byte; Latin-1 makes bytes of the separator
-    lines = docs.select("text").mapInArrow(encode, "ids binary").select(F.col("ids").cast("string").alias("value"))
+    lines = map_batches(docs.select("text"), encode, "ids binary").select(F.col("ids").cast("string").alias("value"))
     separator = SEPARATOR.to_bytes(WIDTH, "little").decode("latin-1")
     lines.write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
@@ -110,7 +110,7 @@ def scan(spark: SparkSession, path: str, separator: int = SEPARATOR, width: int
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["file", "block", "first", "starts", "lengths", "rest"])
 
     schema = "file string, block long, first long, starts array<long>, lengths array<long>, rest long"
-    found = materialise(every.mapInArrow(search, schema), "blocks")
+    found = materialise(map_batches(every, search, schema), "blocks")
     # the scan: a block's carry is what was left over since the last block with a separator
     n = F.size("lengths").cast("long")
     summary = found.select("file", "block", "first", n.alias("n"), "rest")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, table
+from .common import fold_of, map_batches, table
 
 SAMPLE_TEXTS, SAMPLE_WINDOWS, LENGTH, WIDTHS, FILTERS, EMBEDDING = 2500, 3, 128, (2, 3, 4, 5), 12, 8
 EPOCHS, BATCH, RATE, SEED, UND, REJECT_BELOW = 6, 64, 0.004, 2, "und", 0.4
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, held_out: object, texts: int = SAMPLE_TEXTS, per_text:
             x = windows(data, start, end).astype(np.int16)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(list(map(bytes, x.astype("<i2"))), pa.binary())], ["lang", "w"])
 
-    rows = sample.mapInArrow(cut, "lang string, w binary").toArrow().sort_by([("lang", "ascending"), ("w", "ascending")])
+    rows = map_batches(sample, cut, "lang string, w binary").toArrow().sort_by([("lang", "ascending"), ("w", "ascending")])
     names = sorted(set(rows.column("lang").to_pylist()))
     if not names:
         return None
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
             names = pa.array([*(net.languages if net else []), UND]).take(pa.array(np.where(best < 0, len(net.languages) if net else 0, best)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), names, pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def keep(docs: DataFrame, net: Network | None, reject_below: float = REJECT_BELOW) -> DataFrame:
@@ -197,7 +197,7 @@ def keep(docs: DataFrame, net: Network | None, reject_below: float = REJECT_BELO
             best, score = predict(net, b.column("text")) if net else (np.full(len(b), -1), np.zeros(len(b)))
             yield b.filter(pa.array((best >= 0) & (score >= reject_below)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

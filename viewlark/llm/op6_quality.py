@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialise, table
+from .common import fold_of, map_batches, materialise, table
 
 FEATURES, WIDTH, RIDGE, GRID, SEED, THRESHOLD = 256, 3.0, 1e-3, 2000, 6, 0.3
 STATISTICS = (
@@ -69,7 +69,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """``doc_id, x``: the statistics of every row."""
-    return docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, x array<double>")
+    return map_batches(docs.select("doc_id", "text"), _measure, "doc_id long, x array<double>")
 
 
 class Fourier:
@@ -209,7 +209,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
                 x = np.array([statistics(t) for t in b.column("text").to_pylist()])
                 yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, select_by_id, table
+from .common import lookup, map_batches, materialise, select_by_id, table
 from .op2_language_id import flat_bytes
 
 ROWS, MISS, MARGIN = 6, 1e-6, 0.13
@@ -143,7 +143,7 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _batches(data: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _batches(data: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of some MB of text."""
     flat, ends = flat_bytes(data)
     i = 0
@@ -170,7 +170,7 @@ def sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
                     ["doc_id", "n_shingles", "key", "bands", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sig binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, key binary, bands array<long>, sig binary")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 sets = pa.array([s.tobytes() for s in shingle_sets(data, ends, shingle)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), sets], ["id", "set"])
 
-    return wanted.mapInArrow(run, "id long, set binary")
+    return map_batches(wanted, run, "id long, set binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -319,7 +319,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 keep = pa.array(s >= near)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(s).filter(keep)], ["id", "other", "s"])
 
-    likely = offers.select("id", "other", "sig", "other_sig").mapInArrow(estimate, "id long, other long, s double")
+    likely = map_batches(offers.select("id", "other", "sig", "other_sig"), estimate, "id long, other long, s double")
     best = likely.groupBy("id").agg(F.max(F.struct("s", (-F.col("other")).alias("o"))).alias("m")).select("id", (-F.col("m.o")).alias("other"))
     first = materialise(best, "partners")
     asked = first.select("id").unionByName(first.select(F.col("other").alias("id"))).distinct()
@@ -349,7 +349,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
     schema = "bucket long, bi int, bj int, block int, id long, comp long, bands array<long>, sig binary"
     together = lambda df: df.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    chosen = materialise(together(rest.select(*columns)).mapInArrow(choose, schema), "chosen")
+    chosen = materialise(map_batches(together(rest.select(*columns)), choose, schema), "chosen")
     more = materialise(chosen.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "asked")
     all_sets = sets.unionByName(materialise(_one_set(_sets_of(docs, more, shingle)), "shingles"))
 
@@ -361,7 +361,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    late = materialise(together(chosen.join(all_sets, "id").select(*names, "set")).mapInArrow(confirm, "a long, b long"), "links")
+    late = materialise(map_batches(together(chosen.join(all_sets, "id").select(*names, "set")), confirm, "a long, b long"), "links")
     label = components(found.unionByName(late))
     of_key = reps.select("key", "id").join(label, "id", "left").select("key", F.coalesce("label", "id").alias("component"))
     rows = sk.select("doc_id", "n_shingles", "key")
@@ -394,7 +394,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     together = own.unionByName(hubs).repartition("other", "part").sortWithinPartitions("other", "part", "kind")
-    return together.mapInArrow(run, "a long, b long")
+    return map_batches(together, run, "a long, b long")
 
 
 def _forest(ids: list[int], comp: list[int], sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, s: np.ndarray, percent: int) -> list[tuple[int, int]]:

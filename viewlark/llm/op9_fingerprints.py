@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 from .op2_language_id import flat_bytes
 
 WINDOW, LEVELS, NEIGHBOURS, LEAST = 64, 1000, 64, 16
@@ -98,7 +98,7 @@ def count_levels(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS), pa.int32()), pa.array(total)], ["level", "n"])
 
     out = np.zeros(LEVELS, np.int64)
-    for r in docs.select("text").mapInArrow(count, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+    for r in map_batches(docs.select("text"), count, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
         out[r.level] = r.n
     return out
 
@@ -267,7 +267,7 @@ def with_next(docs: DataFrame, rank: np.ndarray) -> DataFrame:
         .sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "text")
         .select("part", "doc_id", "text", "ahead")
     )
-    return dealt.mapInArrow(_with_next(rank), _SCHEMA)
+    return map_batches(dealt, _with_next(rank), _SCHEMA)
 
 
 _SCHEMA = (
