@@ -151,7 +151,8 @@ def _features(x: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> list[np.ndar
             out.append(short(a, b))
             continue
         at = a + np.flatnonzero(chosen[a : b - WINDOW + 1])
-        out.append(_hash(x, at, WINDOW))
+        # in a text that repeats itself throughout no window stands out: its different short windows then
+        out.append(_hash(x, at, WINDOW) if len(at) else np.unique(short(a, b)))
     return out
 
 
