@@ -98,6 +98,17 @@ def test_many_batches_keep_their_order(spark, monkeypatch):
     assert t.read().column("n") == list(range(8)) and t.read(Viewport.of_rows(2, 7)).column("n") == [2, 3, 4, 5, 6]
 
 
+def test_frames_as_batches(spark):
+    t = BaseTable.create(spark, Schema([Field("n", DataType.LONG)]))
+    t.append_row(1)
+    t.append_frame(spark.range(10, 13).withColumnRenamed("id", "n"))
+    before = t.read()
+    t.append_rows([(2,), (3,)])
+    assert t.read().column("n") == [1, 10, 11, 12, 2, 3] and before.column("n") == [1, 10, 11, 12] and (t.size, t.version) == (6, 3)
+    with pytest.raises(TypeError):
+        t.append_frame(spark.createDataFrame([("x",)], "n string"))
+
+
 def test_values_as_columns_take_them(spark):
     s = Schema([
         Field("i", DataType.INT), Field("b", DataType.BOOLEAN), Field("s", DataType.STRING), Field("t", DataType.INSTANT), Field("x", DataType.DOUBLE_ARRAY, 3),

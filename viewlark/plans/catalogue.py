@@ -107,9 +107,9 @@ def filter_chained(spark: SparkSession, d: str) -> DataFrame:
     return p.filter(long_gt("o_custkey", 100)).project("o_orderkey").to_df()
 
 
-@_query("SELECT p_partkey, p_name FROM part WHERE p_brand LIKE '%1%' AND p_size % 2 = 0")
+@_query("SELECT p_partkey, p_name FROM part WHERE p_brand LIKE '%1%' AND p_size > 20")
 def filter_custom(spark: SparkSession, d: str) -> DataFrame:
-    own = custom(["p_brand", "p_size"], lambda b, s: b.contains("1") & (s % 2 == 0))
+    own = custom(["p_brand", "p_size"], lambda b, s: b.contains("1") & (s > 20))
     return _plan(spark, d, "part").filter(own).project("p_partkey", "p_name").to_df()
 
 
@@ -191,8 +191,8 @@ def project_reorder(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str, nulls: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Orders and the customers of one segment (and some that no order has), by text keys; with null keys on both sides."""
-    o = _load(spark, d, "orders").filter("o_custkey % 3 <> 0").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_cust"), "o_totalprice")
+    """Urgent orders and the customers of one segment, by text keys; with ``nulls`` some keys are null on both sides."""
+    o = _load(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_cust"), "o_totalprice")
     c = _load(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("c_key"), "c_name")
     if nulls:
         o = o.withColumn("o_cust", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_cust")))
@@ -200,7 +200,7 @@ def _sides(spark: SparkSession, d: str, nulls: bool = False) -> tuple[DataFrame,
     return o, c
 
 
-_O = "(SELECT o_orderkey, {key} AS o_cust, o_totalprice FROM orders WHERE o_custkey % 3 <> 0)"
+_O = "(SELECT o_orderkey, {key} AS o_cust, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT')"
 _C = "(SELECT {key} AS c_key, c_name FROM customer WHERE c_mktsegment = 'BUILDING')"
 
 
@@ -446,17 +446,22 @@ def wide_book_ticks(spark: SparkSession, d: str) -> DataFrame:
     return from_table(book).group_by("book", count("n")).to_df()
 
 
-@_query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE event_id < 200 GROUP BY event_type")
+_SEEN = "SELECT '{0}' AS seen, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events {1} GROUP BY event_type"
+
+
+@_query(_SEEN.format("before", "WHERE event_type <> 'purchase' AND event_type <> 'view'") + " UNION ALL " + _SEEN.format("after", ""))
 def live_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """A live table that takes its rows in batches; the snapshot read in between does not change."""
-    rows = [tuple(r) for r in _load(spark, d, "events").filter("event_id < 400").orderBy("event_id").select("event_id", "event_type", "value").collect()]
-    schema = Schema([Field("event_id", DataType.LONG), Field("event_type", DataType.STRING), Field("value", DataType.DOUBLE)])
-    live = BaseTable.create(spark, schema)
-    live.append_rows(rows[:100])
-    live.append_rows(rows[100:200])
-    out = from_table(live).group_by("event_type", count("n"), sum_("value", "total")).build().read().to_df()
-    live.append_rows(rows[200:])
-    return _rounded(out, "total")
+    """A live table that takes all events in two batches: what was read in between stays, what is read then has all."""
+    events = _load(spark, d, "events").select("event_id", "event_type", "value")
+    late = F.col("event_type").isin("purchase", "view")
+    live = BaseTable.create(spark, Schema([Field("event_id", DataType.LONG), Field("event_type", DataType.STRING), Field("value", DataType.DOUBLE)]))
+    grouped = from_table(live).group_by("event_type", count("n"), sum_("value", "total")).build()
+    live.append_frame(events.filter(~late))
+    before = grouped.read().to_df()
+    live.append_frame(events.filter(late))
+    after = grouped.read().to_df()
+    seen = before.select(F.lit("before").alias("seen"), "*").unionByName(after.select(F.lit("after").alias("seen"), "*"))
+    return _rounded(seen, "total")
 
 
 def _streamed(spark: SparkSession, d: str, plan: Callable[[QueryPlanner], QueryPlanner]) -> DataFrame:

@@ -173,6 +173,7 @@ class BaseTable(Table):
 
     #: Appended rows are gathered up to this number before they become a frame of their own.
     BATCH_ROWS = 10_000
+    _POS = T.StructField(POS, T.StructType([T.StructField("batch", T.LongType()), T.StructField("row", T.LongType())]), False)
 
     def __init__(self, spark: SparkSession, schema: Schema):
         self.spark, self.schema = spark, schema
@@ -180,6 +181,7 @@ class BaseTable(Table):
         self._lock = threading.RLock()
         self._batches: list[DataFrame] = []
         self._rows: list[tuple] = []
+        self._uncounted: list[DataFrame] = []
         self._size, self._version, self._sealed = 0, 0, False
         self._listeners: list[Listener] = []
         self._frame: tuple[int, DataFrame] | None = None
@@ -221,7 +223,12 @@ class BaseTable(Table):
 
     @property
     def size(self) -> int:
-        return self._given.count() if self._given is not None else self._size
+        if self._given is not None:
+            return self._given.count()
+        with self._lock:
+            while self._uncounted:  # frames are counted when somebody asks
+                self._size += self._uncounted.pop().count()
+            return self._size
 
     @property
     def is_sealed(self) -> bool:
@@ -254,19 +261,39 @@ class BaseTable(Table):
         with self._lock:
             if self._sealed:
                 raise RuntimeError("the table is sealed")
-            self._rows += [(*r, self._size + i) for i, r in enumerate(taken)]
+            at, first = len(self._batches), len(self._rows)
+            self._rows += [(*r, (at, first + i)) for i, r in enumerate(taken)]
             self._size += len(taken)
-            self._version += 1
             if len(self._rows) >= self.BATCH_ROWS:
                 self._flush()
-            version = self._version
-            listeners = list(self._listeners)
+        self._changed()
+
+    def append_frame(self, df: DataFrame) -> None:
+        """Rows of ``df``, however many, as one batch and one version: they stay where they are."""
+        for f in self.schema.fields:
+            if df.schema[f.name].dataType != f.to_spark().dataType:
+                raise TypeError(f"{f.name}: {df.schema[f.name].dataType.simpleString()}, not {f.type.name}")
+        with self._lock:
+            if self._sealed:
+                raise RuntimeError("the table is sealed")
+            if self._rows:
+                self._flush()
+            pos = F.struct(F.lit(len(self._batches)).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row"))
+            fields = [F.col(f"`{f.name}`").alias(f.name, metadata=f.to_spark().metadata) for f in self.schema.fields]
+            own = df.select(*fields, pos.alias(POS))
+            self._batches.append(own)
+            self._uncounted.append(own)
+        self._changed()
+
+    def _changed(self) -> None:
+        with self._lock:
+            self._version += 1
+            version, listeners = self._version, list(self._listeners)
         for listener in listeners:  # on the thread that appends, outside the lock
             listener(version)
 
     def _flush(self) -> None:
-        struct = T.StructType([*self._struct, T.StructField(POS, T.LongType(), False)])
-        self._batches.append(self.spark.createDataFrame(self._rows, struct))
+        self._batches.append(self.spark.createDataFrame(self._rows, T.StructType([*self._struct, self._POS])))
         self._rows = []
 
     def frame(self) -> DataFrame:
@@ -274,10 +301,12 @@ class BaseTable(Table):
             return self._given
         with self._lock:
             if self._frame is None or self._frame[0] != self._version:
-                struct = T.StructType([*self._struct, T.StructField(POS, T.LongType(), False)])
-                df = self.spark.createDataFrame(self._rows, struct)
-                for b in self._batches:
-                    df = b.unionByName(df) if self._rows or b is not self._batches[0] else b
+                parts = list(self._batches)
+                if self._rows or not parts:
+                    parts.append(self.spark.createDataFrame(self._rows, T.StructType([*self._struct, self._POS])))
+                df = parts[0]
+                for b in parts[1:]:
+                    df = df.unionByName(b)
                 self._frame = (self._version, df)
             return self._frame[1]
 
