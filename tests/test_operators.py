@@ -120,6 +120,18 @@ def test_order(spark):
         from_table(of(spark, "s:s", [("x",)])).order_by("s")
 
 
+def test_deep_windows(spark, monkeypatch):
+    from viewlark.operators import core
+
+    rows = [(i, float(i * 7 % 101)) for i in range(101)]
+    p = from_table(BaseTable.of(spark.createDataFrame(rows, "i long, k double").repartition(7), order=["i"])).order_by("k", False)
+    views = [Viewport.of_rows(20, 30), Viewport.of_rows(95, 500), Viewport(limit=40), Viewport.of_rows(0, 3), Viewport.of_rows(500, 600)]
+    before = [read(p, v) for v in views]
+    monkeypatch.setattr(core, "DEEP", 2)
+    assert [read(p, v) for v in views] == before
+    assert before[0] == sorted(rows, key=lambda r: -r[1])[20:30] and len(before[1]) == 6 and before[4] == []
+
+
 KEYS = st.sampled_from([None, "a", "b", "c"])
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Schema
+from ..shared import folder
 from ..viewport import ALL_ROWS, RowRange
 
 if TYPE_CHECKING:
@@ -17,14 +18,38 @@ if TYPE_CHECKING:
 POS = "__pos"
 
 
+#: Row ranges that end beyond this many rows are cut by row number; shorter ones are a top-k in each task.
+DEEP = 100_000
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 0, as ``name``.
+
+    The sorted rows are written, a file for each part of the sort; a row's place
+    is its row in the file behind the files before.  So no task sees more than a
+    part, and the parts cannot shift between the count and the read.
+    """
+    path = folder(df.sparkSession)
+    df.orderBy(*order).write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # over one row a file
+    before = rows.groupBy("__file").count().select("__file", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
+    placed = rows.join(before, "__file").withColumn(name, F.col("__before") + F.col("__row"))
+    return placed.select(*backquoted(df.columns), name)
+
+
+def cut(df: DataFrame, order: list, start: int, stop: int) -> DataFrame:
+    """Rows ``start`` to ``stop`` of ``df`` in ``order``; clamped to what there is."""
+    if stop <= DEEP:
+        ordered = df.orderBy(*order).limit(stop)
+        return ordered.offset(start) if start else ordered
+    place = F.col("__place")
+    inside = (place >= start) & (place < stop)
+    return numbered(df, order, "__place").filter(inside).drop("__place")
+
+
 def window(df: DataFrame, rows: RowRange) -> DataFrame:
-    """Rows ``rows`` of ``df`` in its order; clamped to what there is."""
-    if rows.is_all:
-        return df
-    ordered = df.orderBy(POS)
-    if rows.start:
-        ordered = ordered.offset(rows.start)
-    return ordered.limit(min(rows.size, (1 << 31) - 1))
+    return df if rows.is_all else cut(df, [POS], rows.start, rows.stop)
 
 
 class Context:

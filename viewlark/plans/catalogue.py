@@ -7,18 +7,18 @@ put in by the queries.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cache import pull_caching
 from ..functions.expressions import col, const
 from ..functions.predicates import and_, custom, double_gt, long_eq, long_gt, or_, string_eq
-from ..operators import JoinKind, count, discover_keys, sum_
+from ..operators import POS, JoinKind, count, discover_keys, sum_
+from ..operators.core import numbered
 from ..schema import DataType, Field, Schema
+from ..shared import folder
 from ..sources import Format, read, write
 from ..sources.wide_book import WideBookTable
 from ..streaming import StreamedTable, stream
@@ -54,12 +54,6 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 2) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share, for queries that write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='viewlark-')}/viewlark-{uuid.uuid4().hex}"
-
-
 # ---- filters and named predicates
 
 
@@ -337,13 +331,10 @@ def sort_desc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _places(spark: SparkSession, d: str, ascending: bool) -> DataFrame:
-    """The sorted rows with their places: those of each part of the range-partitioned sort, behind the parts before."""
+    """The sorted rows with their places."""
     orders = BaseTable.of(_load(spark, d, "orders"), order=["o_orderkey"])
-    sorted_ = from_table(orders).order_by("o_totalprice", ascending).project("o_orderkey", "o_totalprice").build().read().ordered()
-    at = sorted_.withColumn("i", F.monotonically_increasing_id()).withColumn("part", F.shiftright("i", 33))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each part of the sort
-    before = at.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    return at.join(F.broadcast(before), "part").select("o_orderkey", "o_totalprice", (F.col("before") + F.col("i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
+    plan = from_table(orders).order_by("o_totalprice", ascending).project("o_orderkey", "o_totalprice")
+    return numbered(plan.build().frame(), [POS], "place").select("o_orderkey", "o_totalprice", (F.col("place") + 1).alias("place"))
 
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -392,7 +383,7 @@ def viewport_sort_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _round_trip(fmt: Format, spark: SparkSession, df: DataFrame, schema: Schema | None = None) -> DataFrame:
-    path = _shared(spark)
+    path = folder(spark)
     write(BaseTable.of(df), fmt, path)
     return read(spark, fmt, path, schema).read().to_df()
 
@@ -466,7 +457,7 @@ def live_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, d: str, plan: Callable[[QueryPlanner], QueryPlanner]) -> DataFrame:
     """Events in four files, one a micro-batch; the result after the last."""
-    base = _shared(spark)
+    base = folder(spark)
     schema = Schema([Field("event_id", DataType.LONG), Field("event_type", DataType.STRING), Field("user_id", DataType.LONG), Field("value", DataType.DOUBLE)])
     _load(spark, d, "events").select(*schema.names).repartition(4).write.parquet(f"{base}/in")
     table = StreamedTable(spark, f"{base}/in", schema, files_per_batch=1)
@@ -496,7 +487,7 @@ def live_join_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_pivot_sql("events", "event_type", "(user_id % 2)::VARCHAR", "value", ["0", "1"]))
 def live_pivot_stream(spark: SparkSession, d: str) -> DataFrame:
-    base = _shared(spark)
+    base = folder(spark)
     schema = Schema([Field("event_type", DataType.STRING), Field("side", DataType.STRING), Field("value", DataType.DOUBLE)])
     _load(spark, d, "events").select("event_type", (F.col("user_id") % 2).cast("string").alias("side"), "value").repartition(3).write.parquet(f"{base}/in")
     root = from_table(StreamedTable(spark, f"{base}/in", schema)).pivot("event_type", "side", "value", ["0", "1"]).root

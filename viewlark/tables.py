@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretty
-from .operators.core import POS, Context, Operator, backquoted
+from .operators.core import POS, Context, Operator, backquoted, cut
 from .schema import DataType, Field, Schema
 from .viewport import ALL, RowRange, Viewport
 
@@ -155,10 +155,10 @@ def finish(df: DataFrame, schema: Schema, viewport: Viewport, version: int) -> S
         schema.index_of(k.column)
     shown = schema.select(viewport.columns) if viewport.columns is not None else schema
     names = backquoted(shown.names)
-    ordered = df.orderBy(*order, POS)
     if viewport.has_limit:
-        ordered = ordered.limit(viewport.limit)
-        return Slice(ordered.select(*names), shown, version)
+        first = cut(df, [*order, POS], 0, viewport.limit)
+        return Slice(first.select(*names), shown, version, first.orderBy(*order, POS).select(*names))
+    ordered = df.orderBy(*order, POS)
     return Slice(df.select(*names), shown, version, ordered.select(*names))
 
 
