@@ -34,7 +34,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/viewlark-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._viewlark_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, when nothing that is yet to run reads it."""
+    for df in written:
+        delete(df.sparkSession, df._viewlark_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder of ours, in whatever store it is."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def fold_of(doc_id: Column, n: int) -> Column:
@@ -44,9 +58,8 @@ def fold_of(doc_id: Column, n: int) -> Column:
 
 def hot_keys(df: DataFrame, key: str, parts: int = 512) -> DataFrame:
     """Keys with more than one ``parts``-th of the rows: fewer than ``parts`` of them, whatever the input."""
-    counts = df.groupBy(key).count()
-    total = df.select(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total), F.col("count") * parts > F.col("total")).select(key)
+    least = df.count() // parts
+    return df.groupBy(key).count().filter(F.col("count") > least).select(key)
 
 
 def lookup(big: DataFrame, unique: DataFrame, key: str, parts: int = 512) -> DataFrame:

@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, shared_dir, table
+from .common import delete, map_batches, materialise, shared_dir, table
 
 WIDTH, SEPARATOR, BLOCK_BYTES = 2, 50256, 4 << 20
 _encoders: dict = {}
@@ -145,7 +145,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenise all documents to flat files in the shared folder and count by scanning these."""
     path = f"{shared_dir(spark)}/viewlark-ids-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path)
-    return scan(spark, path).withColumn("file", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
+    found = scan(spark, path)  # it has read the files by now
+    delete(spark, path)
+    return found.withColumn("file", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
 
 
 ORACLE_SQL = None

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, map_batches, materialise, select_by_id, table
+from .common import discard, lookup, map_batches, materialise, select_by_id, table
 from .op2_language_id import flat_bytes
 
 ROWS, MISS, MARGIN = 6, 1e-6, 0.13
@@ -277,6 +277,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = materialise(both, "edges")
     labels = materialise(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    labels_before = labels
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("to"))
@@ -284,8 +285,10 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("id").alias("to"), F.col("label").alias("beyond"))
         moved = lower.join(jump, "to").select("id", F.least("to", "beyond").alias("label"), (F.least("to", "beyond") < F.col("label")).alias("moved"))
         moved = materialise(moved, "labels")
-        labels = moved.select("id", "label")
+        discard(labels_before)
+        labels, labels_before = moved.select("id", "label"), moved
         if moved.filter("moved").isEmpty():
+            discard(edges)
             return labels
 
 
@@ -323,7 +326,8 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     best = likely.groupBy("id").agg(F.max(F.struct("s", (-F.col("other")).alias("o"))).alias("m")).select("id", (-F.col("m.o")).alias("other"))
     first = materialise(best, "partners")
     asked = first.select("id").unionByName(first.select(F.col("other").alias("id"))).distinct()
-    sets = materialise(_one_set(_sets_of(docs, materialise(asked, "asked"), shingle)), "shingles")
+    asked = materialise(asked, "asked")
+    sets = materialise(_one_set(_sets_of(docs, asked, shingle)), "shingles")
     found = materialise(_confirm(first, sets, percent), "links")
 
     # what different components of a bucket may still have in common
@@ -351,7 +355,8 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     together = lambda df: df.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     chosen = materialise(map_batches(together(rest.select(*columns)), choose, schema), "chosen")
     more = materialise(chosen.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "asked")
-    all_sets = sets.unionByName(materialise(_one_set(_sets_of(docs, more, shingle)), "shingles"))
+    more_sets = materialise(_one_set(_sets_of(docs, more, shingle)), "shingles")
+    all_sets = sets.unionByName(more_sets)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for col in _groups(batches, 3):
@@ -363,6 +368,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     late = materialise(map_batches(together(chosen.join(all_sets, "id").select(*names, "set")), confirm, "a long, b long"), "links")
     label = components(found.unionByName(late))
+    discard(buckets, inside, first, asked, sets, found, chosen, more, more_sets, late)
     of_key = reps.select("key", "id").join(label, "id", "left").select("key", F.coalesce("label", "id").alias("component"))
     rows = sk.select("doc_id", "n_shingles", "key")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
