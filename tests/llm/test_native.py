@@ -170,6 +170,31 @@ def test_empty_tables(spark):
     assert op8_decontamination.matches(docs, none).count() == 0 and op8_decontamination.matches(docs.limit(0), bench(spark, Q)).count() == 0
 
 
+def found_in(spark, items, docs):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in op8_decontamination.matches(df, bench(spark, *items)).collect())
+    kept = {r.doc_id for r in op8_decontamination.decontaminate(df, bench(spark, *items)).collect()}
+    assert kept == set(range(len(docs))) - {d for d, _ in got}
+    return got
+
+
+def test_names_that_start_a_sentence_and_numbers_with_points(spark):
+    items = [
+        "John has 5 apples and 3 pears. Mary gives him 4 more apples. John eats 2 apples. How many apples does he have now?",
+        "John has 5 apples and buys 3 more. How many now?",
+        "A shop sold 1,200 pens and took 5.50 dollars from everyone who came by before noon that day",
+    ]
+    docs = [
+        "Peter has 7 apples and 4 pears. Susan gives him 6 more apples. Peter eats 3 apples. How many apples does he have now?",
+        'He asks: "Mary has 7 apples and buys 2 more. How many now?"', "Well.\nMary has 7 apples and sells 2 more. How many now?",
+        "Then: a shop sold 87 pens and took 12 dollars from everyone who came by before noon that day", "A shop sold 9,999 pens",
+    ]
+    assert found_in(spark, items, docs) == [(0, 0), (1, 1), (3, 2)]
+    # a place is that of the words with 1,200 as two
+    df = spark.createDataFrame([(1, "on 1,000 days. " + items[2].replace("5.50", "7"))], "doc_id long, text string")
+    assert [r.first_word for r in op8_decontamination.matches(df, bench(spark, items[2])).collect()] == [4]
+
+
 # ---- licences
 
 
