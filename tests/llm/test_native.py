@@ -195,6 +195,15 @@ def test_names_that_start_a_sentence_and_numbers_with_points(spark):
     assert [r.first_word for r in op8_decontamination.matches(df, bench(spark, items[2])).collect()] == [4]
 
 
+def test_copies_whose_names_differ_from_the_item_only_by_their_place(spark):
+    items = ["What is the capital city of the country France?", "the old mill by the stream was sold to a man from town"]
+    docs = [
+        "and so on to the quiz What is the capital city of the country France? and more", "the quiz What is the capital city of the country france",
+        "so The Old mill by the Stream was sold to a Man from town", "What is the capital river of the country France?",
+    ]
+    assert found_in(spark, items, docs) == [(0, 0), (1, 0), (2, 1)]
+
+
 # ---- licences
 
 
