@@ -204,6 +204,15 @@ def test_copies_whose_names_differ_from_the_item_only_by_their_place(spark):
     assert found_in(spark, items, docs) == [(0, 0), (1, 0), (2, 1)]
 
 
+def test_copies_that_are_mostly_slots(spark):
+    items = [
+        "The singers were Anna Netrebko, Placido Domingo, Luciano Pavarotti, Maria Callas, Renata Tebaldi and Cecilia Bartoli.",
+        "Compute 12 + 7 * 3 - 15 / 5 and add 44 to 9.",
+    ]
+    docs = [f"Some text. {x} More text." for x in items] + [items[1].replace("44", "45"), items[0].replace("Maria", "Clara").replace("Anna", "Edita").replace("Renata", "Mirella")]
+    assert found_in(spark, items, docs) == [(0, 0), (1, 1)]
+
+
 # ---- licences
 
 
