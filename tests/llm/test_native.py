@@ -236,3 +236,40 @@ def test_licences(spark):
     ]
     assert sorted(got) == sorted(want)
     assert op10_licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+HOPE = (
+    "\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+)
+GPL = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n"
+NOTICES = {
+    "GPL-3.0-or-later": "A tool\nCopyright (C) 2020 Jo\n\n" + GPL.format(":", ",", 3) + HOPE,
+    "GPL-2.0-or-later": "A tool\nCopyright (C) 2020 Jo\n\n" + GPL.format(";", ";", 2) + HOPE,
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.\n",
+    "Apache-2.0-header": (
+        'Copyright 2020 Jo\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
+        "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\n"
+        'distributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n'
+        "See the License for the specific language governing permissions and\nlimitations under the License.\n"
+    ),
+    "ISC": (
+        "ISC License\n\nCopyright (c) 2020, Jo\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+        'copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\n'
+        "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE\n"
+    ),
+    "MIT-text": (
+        "MIT License\n\nCopyright (c) 2020 Jo\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+        "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\n"
+        "furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n"
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT\n'
+    ),
+}
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+def test_standard_notices(spark, prefix):
+    docs = [(k, "".join(f"{prefix}{x}".rstrip() + "\n" for x in text.splitlines())) for k, text in NOTICES.items()]
+    got = {r.doc_id: r.licenses for r in op10_licenses.scan(spark.createDataFrame(docs, "doc_id string, text string")).collect()}
+    more = {"Apache-2.0-header": ["Apache-2.0"], "MIT-text": ["MIT"]}
+    assert got == {k: [*more.get(k, []), k] for k in NOTICES}

@@ -1,7 +1,8 @@
 """Licence scans by sentence rules (native).
 
-A text is cut into sentences twice: at line ends and sentence ends, and, with
-hard-wrapped lines joined, at sentence ends alone.  Each sentence is normalised
+A text is cut into sentences three times: at line ends and sentence ends, and, with
+hard-wrapped lines joined, at sentence ends alone, and at sentence ends and blank
+lines (here parts of sentences are known, too; the SQL lacks this cut).  Each sentence is normalised
 (lower case, every run of other than a-z and 0-9 one space) and mapped to the
 identifier of a known licence sentence, all others are passed over.  What is
 left is a short sequence of identifiers, which ordered rules are matched with: a
@@ -86,34 +87,71 @@ RULES = [
 #: Where a sentence ends, and where a line does too.
 SENTENCE_END = r"[.;!?:]+[ \t\r\n]+"
 LINE_END = SENTENCE_END + r"|\n"
-
-
-def _known() -> Column:
-    pairs = [x for key, texts in SENTENCES.items() for text in texts for x in (F.lit(text), F.lit(key))]
+#: Where a sentence of hard-wrapped lines ends: at a line without a letter or digit (``#`` or ``*`` of a comment) as well.
+PARAGRAPH_END = SENTENCE_END + r"|\n[^\p{L}\p{N}\n]*\n"
+
+_MAY = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_EITHER = "either version {} of the license or at your option any later version"
+_COPY = "you may obtain a copy of the license at"
+_URLS = ["http www apache org licenses license 2 0", "https www apache org licenses license 2 0"]
+#: Parts of known sentences that the standard notices show, as PARAGRAPH_END cuts them.  (The SQL has them not.)
+PARTS = {
+    "gpl-program": ["this program is free software"],
+    "gpl-may": [_MAY],
+    "gpl-either": [_EITHER.format(3)],
+    "gpl-may-either": [f"{_MAY} {_EITHER.format(3)}"],
+    "gpl2-either": [_EITHER.format(2)],
+    "gpl2-may-either": [f"{_MAY} {_EITHER.format(2)}"],
+    "gpl-useful": ["this program is distributed in the hope that it will be useful but without any warranty"],
+    "gpl-implied": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "mpl-subject": ["this source code form is subject to the terms of the mozilla public license v"],
+    "apache-obtain": [_COPY],
+    "apache-url": _URLS,
+    "apache-copy-s": [f"{_COPY} {_URLS[1]}"],
+    "apache-copy-law": [f"{_COPY} {u} {SENTENCES['asis-law'][0]}" for u in _URLS],
+}
+_HOPE = ["gpl-useful", "gpl-implied", "gpl-details"]
+#: Other sequences with which a rule holds.
+PART_RULES = {
+    "Apache-2.0-header": [
+        ["apache-licensed", "apache-comply", *copy, "see-license"]
+        for copy in (["apache-obtain", "apache-url", "asis-law"], ["apache-copy-s", "asis-law"], ["apache-copy-law"])
+    ],
+    "GPL-2.0-or-later": [["gpl-program", "gpl-may", "gpl2-either", *_HOPE], ["gpl-program", "gpl2-may-either", *_HOPE]],
+    "GPL-3.0-or-later": [["gpl-program", "gpl-may", "gpl-either", *_HOPE], ["gpl-program", "gpl-may-either", *_HOPE]],
+    "MPL-2.0-notice": [["mpl-subject", "mpl-copy"]],
+}
+
+
+def _known(sentences: dict[str, list[str]]) -> Column:
+    pairs = [x for key, texts in sentences.items() for text in texts for x in (F.lit(text), F.lit(key))]
     return F.create_map(*pairs)
 
 
-def sentence_ids(text: Column, ends: str) -> Column:
+def sentence_ids(text: Column, ends: str, sentences: dict[str, list[str]] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     norm = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    ids = F.transform(F.split(F.coalesce(text, F.lit("")), ends, -1), lambda s: F.try_element_at(_known(), norm(s)))
+    ids = F.transform(F.split(F.coalesce(text, F.lit("")), ends, -1), lambda s: F.try_element_at(_known(sentences), norm(s)))
     return F.filter(ids, lambda i: i.isNotNull())
 
 
-def match_rules(fine: Column, joined: Column) -> Column:
-    """Licences, in the rules' order, whose sentences come in order in either sequence."""
+def match_rules(fine: Column, joined: Column, parts: Column) -> Column:
+    """Licences, in the rules' order, whose sentences come in order in any sequence."""
 
     def holds(ids: list[str], seq: Column) -> Column:
         return F.concat(F.lit(","), F.array_join(seq, ",,"), F.lit(",")).rlike("(?s)" + ".*".join(f",{i}," for i in ids))
 
-    found = {name: holds(ids, fine) | holds(ids, joined) for name, ids, _ in RULES}
+    found = {name: holds(ids, fine) | holds(ids, joined) | holds(ids, parts) for name, ids, _ in RULES}
+    for name, others in PART_RULES.items():
+        for ids in others:
+            found[name] = found[name] | holds(ids, parts)
     names = []
     for name, _, void in RULES:
         ok = found[name]
         for other in void:
             ok = ok & ~found[other]
         names.append(F.when(ok, F.lit(name)))
-    some = (F.size(fine) > 0) | (F.size(joined) > 0)
+    some = (F.size(fine) > 0) | (F.size(joined) > 0) | (F.size(parts) > 0)
     return F.when(some, F.filter(F.array(*names), lambda n: n.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
@@ -121,8 +159,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, sentence_ids, licenses`` (arrays) of every document."""
     lines = sentence_ids(F.col("text"), LINE_END)
     wrapped = sentence_ids(F.col("text"), SENTENCE_END)
-    return docs.select("doc_id", lines.alias("fine"), wrapped.alias("joined")).select(
-        "doc_id", F.col("fine").alias("sentence_ids"), match_rules(F.col("fine"), F.col("joined")).alias("licenses")
+    parts = sentence_ids(F.col("text"), PARAGRAPH_END, SENTENCES | PARTS)
+    return docs.select("doc_id", lines.alias("fine"), wrapped.alias("joined"), parts.alias("parts")).select(
+        "doc_id", F.col("fine").alias("sentence_ids"), match_rules(F.col("fine"), F.col("joined"), F.col("parts")).alias("licenses")
     )
 
 
