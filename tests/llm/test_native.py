@@ -54,16 +54,49 @@ def test_rendering_is_reversible(spark):
     nasty = ["\\### Assistant: </turn> ok", "", None, "\\b\\h\\l\\\\", "### a: </turn>\n### b: ", "a:b\n", "é𝔘", "x" * 200_000, "</turn>\n"]
     rows = [(k % 3, k, r, t) for k, (r, t) in enumerate((r, t) for t in nasty for r in ("user", "assistant", "odd: #role\\", None))]
     rows.append(rows[0])  # a repeated row is a turn of its own
-    messages = op5_chat.reconstruct(op5_chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
-    out = op5_chat.render(messages).select("*", op5_chat.parse(F.col("formatted")).alias("turns")).collect()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(5) for c in ("part", "seq", "kind", "at", "log", "loss")})
+    messages = op5_chat.reconstruct(op5_chat.events_of(df))
+    out = op5_chat.render(messages).select("*", op5_chat.parse(F.col("formatted")).alias("turns"), op5_chat.under_loss(F.col("formatted"), F.col("loss")).alias("under")).collect()
     assert len(out) == 3
     for o in out:
         own = sorted((t, r or "", x or "") for c, t, r, x in rows if c == o.conv_id)
         assert [(t.role, t.text) for t in o.turns] == [(r, x) for _, r, x in own]
-        assert "".join(s.text for s in o.segments) == o.formatted and o.formatted.count("</turn>\n") == len(own)
-        under = "".join(s.text for s in o.segments if s.loss)
-        undone = under.replace("\\h", "#").replace("\\l", "<").replace("\\b", "\\")
-        assert undone == "".join(x for _, r, x in own if r == "assistant")
+        assert o.formatted.count("</turn>\n") == len(own) == len(o.loss)
+        under = [t[m.start : m.start + m.length] for t, m in zip(o.formatted.split("</turn>\n"), o.loss)]  # the mask alone
+        undone = [u.replace("\\h", "#").replace("\\l", "<").replace("\\b", "\\") for u in under]
+        assert undone == [x if r == "assistant" else "" for _, r, x in own] == list(o.under)
+
+
+def test_fold_against_a_plain_loop(spark):
+    r = random.Random(4)
+    log = []
+    for conv in range(6):
+        for seq in range(60):
+            kind = r.choice(["start", "delta", "delta", "delta", "edit", "regenerate", "delete"])
+            log.append((conv, r.choice([None, 0, 1, 2]), r.randint(0, 1), seq, kind, r.choice([None, "user", "assistant"]), r.choice([None, "a", "b"])))
+    want = {}
+    for conv, turn, part, seq, kind, role, text in log:
+        if kind == "regenerate":
+            for k, m in want.items():
+                if k[0] == conv and (k[1] if k[1] is not None else -1) > (turn if turn is not None else -1):
+                    m["void"] = True
+        m = want.setdefault((conv, turn, part), {"role": "", "text": "", "void": False, "gone": False})
+        m["void"] = False
+        if kind == "start":
+            m["role"] = role or ""
+        m["gone"] = kind == "delete" or (m["gone"] and kind == "delta")
+        m["text"] = {"delta": m["text"] + (text or ""), "regenerate": "", "delete": ""}.get(kind, text or "")
+    want = [(*k, m["role"], m["text"]) for k, m in want.items() if not m["void"] and not m["gone"]]
+    r.shuffle(log)
+    got = map(tuple, op5_chat.reconstruct(spark.createDataFrame(log, EVENTS).repartition(3)).collect())
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_one_exchange(spark):
+    rows = spark.range(100).selectExpr("id % 7 AS conv_id", "id AS turn", "'assistant' AS role", "'x' AS text")
+    out = op5_chat.render(op5_chat.reconstruct(op5_chat.events_of(rows)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_no_conversations(spark):

@@ -10,20 +10,27 @@ A log holds one row per event: ``conv_id, turn, part, seq, kind, role, text``.
 * ``delete`` removes the message.
 
 ``reconstruct`` folds the log into final messages, ``render`` writes each
-conversation with the template below.  Inside texts and roles every backslash,
-``#`` and ``<`` (in roles also ``:``) becomes a backslash and a letter, so that
-no control string can appear there, and ``unescape`` gives back the exact text.
+conversation with the template below, its messages by turn and part.  Inside texts
+and roles every backslash, ``#`` and ``<`` (in roles also ``:``) becomes a backslash
+and a letter, so that no control string can appear there, and ``unescape`` gives
+back the exact text.  The loss mask is a list of spans of the output, one for each
+turn: ``length`` code points of it from ``start`` on, 0 of a turn that bears no loss;
+``under_loss`` reads it.  (Places are within the turn, so that slicing a long
+conversation takes time in proportion to it.)
+
+All of it takes one exchange, by conversation: numbering, sorting by sequence,
+folding and rendering find the rows where they are.
 
 Nulls: a null text is empty, a null role is the empty role, a null conv_id is a
 conversation of its own and a null turn comes first.  Rows that repeat an event
 are separate events; in ``query`` each row of the table is a turn of its own.
-Empty tables give no rows.  Columns other than those named are ignored.  A
+Events of one message with equal ``seq`` follow by text and kind.  Empty tables give no rows.  Columns other than those named are ignored.  A
 conversation is one output row, so the whole of it must fit in a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -45,57 +52,57 @@ def unescape(text: Column) -> Column:
 
 def reconstruct(events: DataFrame) -> DataFrame:
     """Final messages ``conv_id, turn, part, role, text`` of an event log."""
-    resets = F.col("kind").isin(*RESETS)
-    one = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"), "kind")
-    messages = events.groupBy("conv_id", "turn", "part").agg(
-        F.collect_list(one).alias("log"),
-        F.max(F.when(resets, F.col("seq"))).alias("reset_at"),
-        F.max("seq").alias("last_seq"),
-        F.max_by(F.coalesce("role", F.lit("")), F.when(F.col("kind") == "start", F.col("seq"))).alias("role"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("regenerated_at"),
-    )
-    # a regeneration voids what came later in the conversation and was written before it
-    regenerations = messages.filter(F.col("regenerated_at").isNotNull()).groupBy(F.col("conv_id").alias("of_conv")).agg(
-        F.collect_list(F.struct("turn", "regenerated_at")).alias("redone")
-    )
-    live = F.array_sort(F.filter("log", lambda e: F.coalesce(e["seq"] >= F.col("reset_at"), F.lit(True))))
+    kind, seq = F.col("kind"), F.col("seq")
+    # of each event, the last regeneration of an earlier turn (a null turn is before all others)
+    earlier = Window.partitionBy("conv_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62)))
+    log = events.select("conv_id", "turn", "part", "seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"), at.alias("at"))
+    log = log.withColumn("redone", F.max(F.when(kind == "regenerate", seq)).over(earlier))
+    # in order of sequence: how often the message was set anew, and by whom it was opened
+    so_far = Window.partitionBy("conv_id", "turn", "part").orderBy("seq", "text", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    log = log.withColumns({
+        "version": F.count_if(kind.isin(*RESETS)).over(so_far),
+        "opened": F.last(F.when(kind == "start", F.coalesce("role", F.lit(""))), ignorenulls=True).over(so_far),
+    })
+    messages = log.groupBy("conv_id", "turn", "part").agg(
+        F.max("version").alias("final"), F.max("seq").alias("last_seq"), F.max("redone").alias("redone"),
+        F.max_by("opened", F.struct("version", "seq")).alias("role"), F.collect_list(F.struct("version", "seq", "text", "kind")).alias("log"),
+    )
+    live = F.array_sort(F.filter("log", lambda e: e["version"] == F.col("final")))
     texts = F.transform(F.filter(live, lambda e: e["kind"].isin("start", "delta", "edit")), lambda e: e["text"])
-    voided = F.exists(
-        "redone", lambda r: (r["turn"] < F.col("turn")) & (r["regenerated_at"] > F.col("last_seq"))
-    )
+    # a regeneration voids what came later in the conversation and was written before it
     return (
-        messages.join(regenerations, F.col("conv_id").eqNullSafe(F.col("of_conv")), "left")
-        .filter(~F.coalesce(voided, F.lit(False)))
+        messages.filter(~F.coalesce(F.col("redone") > F.col("last_seq"), F.lit(False)))
         .filter(~F.exists(live, lambda e: e["kind"] == "delete"))
         .select("conv_id", "turn", "part", F.coalesce("role", F.lit("")).alias("role"), F.array_join(texts, "").alias("text"))
     )
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """``conv_id, formatted, segments``: the output string, and the pieces it consists of.
-
-    ``segments`` is the loss mask: an array of ``text, loss`` in order, whose
-    texts joined are ``formatted``; ``loss`` is true for texts of ``loss_role``.
-    """
+    """``conv_id, formatted, loss``: the output string, and of each of its turns the span (``start, length``) that is text of ``loss_role``."""
     head = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\c")), F.lit(SEP))
-    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    own = F.array(
-        piece(head, F.lit(False)),
-        piece(escape(F.col("text")), F.col("role") == loss_role),
-        piece(F.lit(END), F.lit(False)),
-    )
-    rows = messages.select("conv_id", F.struct("turn", "role", "text", "part", own.alias("own")).alias("m"))
-    ordered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    pieces = ordered.select("conv_id", F.flatten(F.transform("ms", lambda m: m["own"])).alias("segments"))
-    return pieces.select(
-        "conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments"
-    )
+    rows = messages.select("conv_id", "turn", "part", (F.col("role") == loss_role).alias("own"), head.alias("head"), escape(F.col("text")).alias("body"))
+    one = F.struct(
+        "turn", "part", "own", F.length("head").alias("start"), F.length("body").alias("length"),
+        F.concat("head", "body", F.lit(END)).alias("written"),
+    )
+    ordered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("ms"))
+    loss = F.transform("ms", lambda m: F.struct(m["start"].alias("start"), F.when(m["own"], m["length"]).otherwise(0).alias("length")))
+    return ordered.select("conv_id", F.array_join(F.transform("ms", lambda m: m["written"]), "").alias("formatted"), loss.alias("loss"))
+
+
+def turns_of(formatted: Column) -> Column:
+    """The turns of a rendered string, as they are written, without their end."""
+    return F.filter(F.split(formatted, END, -1), lambda t: t != "")
+
+
+def under_loss(formatted: Column, loss: Column) -> Column:
+    """The texts under the loss mask, sliced out of the rendered string and unescaped, in order."""
+    return F.zip_with(turns_of(formatted), loss, lambda t, m: unescape(t.substr(m["start"] + 1, m["length"])))
 
 
 def parse(formatted: Column) -> Column:
     """The turns ``role, text`` in a rendered string, unescaped."""
-    turns = F.filter(F.split(formatted, END, -1), lambda t: t != "")
-
     def turn(t: Column) -> Column:
         body = F.substring(t, len(OPEN) + 1, 2**31 - 1)
         at = F.instr(body, SEP)
@@ -103,30 +110,28 @@ def parse(formatted: Column) -> Column:
         text = body.substr(at + len(SEP), F.length(body))
         return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
 
-    return F.transform(turns, turn)
+    return F.transform(turns_of(formatted), turn)
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of a table of finished turns; what the assistant said arrives in two deltas."""
+    """The log of a table of finished turns, as a chat would have left it.
+
+    What the assistant said arrives in two deltas, after a first answer that broke
+    off and was made anew; what others said was sent half written, and then edited.
+    """
     text, half = F.coalesce("text", F.lit("")), F.floor(F.length("text") / 2).cast("int")
-    copies = (
-        conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
-        .groupBy("conv_id", "turn", "role", "text")
-        .count()
-        .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
-    )
-    event = lambda seq, kind, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-    streamed = F.array(
-        event(0, "start", F.lit("")),
-        event(1, "delta", F.col("text").substr(F.lit(1), half)),
-        event(2, "delta", F.col("text").substr(half + 1, F.length("text"))),
-    )
-    whole = F.array(event(0, "start", F.col("text")))
-    part = F.struct("role", F.xxhash64("text").alias("of"), "copy")
-    return copies.select(
-        "conv_id", "turn", part.alias("part"), "role",
-        F.inline(F.when(F.col("role") == "assistant", streamed).otherwise(whole)),
-    )
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    rows = rows.withColumn("part", F.row_number().over(order).cast("long"))
+    begun, rest = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text"))
+    none = F.lit(None).cast("string")
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct((F.col("part") * 8 + k).alias("seq"), F.lit(kind).alias("kind"), t.alias("text")) for k, (kind, t) in enumerate(events)))
+
+    streamed = log(("start", none), ("delta", begun), ("regenerate", none), ("delta", begun), ("delta", rest))
+    edited = log(("start", begun), ("edit", F.col("text")))
+    return rows.select("conv_id", "turn", "part", "role", F.inline(F.when(F.col("role") == "assistant", streamed).otherwise(edited)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +143,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     out = render(reconstruct(events_of(rows))).select("*", parse(F.col("formatted")).alias("turns"))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    loss = F.array_join(under_loss(F.col("formatted"), F.col("loss")), "")
     return out.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), joined.alias("joined"), loss.alias("loss")).select(
         "conv_id", "n_turns", F.sha2("joined", 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
