@@ -19,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own, which only a local session can share.
+
+    ``viewlark.shared`` does the same for the rest of the library, which this subpackage must not be needed for.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="viewlark-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():
@@ -81,7 +86,10 @@ BATCH_ROWS = 500
 
 
 def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with small batches, whatever the rows' size; the session keeps the smaller batches."""
+    """``mapInArrow`` with small batches, whatever the rows' size.
+
+    The setting is read when the plan runs, so the session keeps the smaller batches.
+    """
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     now = int(conf.get(key))
     if not 0 < now <= BATCH_ROWS:
@@ -89,12 +97,19 @@ def map_batches(df: DataFrame, function: Callable, schema: str | StructType) ->
     return df.mapInArrow(function, schema)
 
 
+def others_than(docs: DataFrame, *names: str) -> tuple[list[str], list[str]]:
+    """The other columns' names and their part of a schema; names are compared as Spark does."""
+    own = [f for f in docs.schema if f.name.lower() not in names]
+    return [f.name for f in own], [f"`{f.name}` {f.dataType.simpleString()}" for f in own]
+
+
 #: So many ids are broadcast at most (some 10 to 20 MB); more are met in a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
 def select_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows of ``docs`` whose doc_id is (``left_semi``) or isn't (``left_anti``) in ``ids`` (column id, written before)."""
-    few = ids.select(F.col("id").alias("_id")).distinct()
+    own = f"id_{uuid.uuid4().hex}"  # no column of docs
+    few = ids.select(F.col("id").alias(own)).distinct()
     side = F.broadcast(few) if ids.count() <= BROADCAST_IDS else few
-    return docs.join(side, F.col("doc_id") == F.col("_id"), how)
+    return docs.join(side, docs["doc_id"] == side[own], how)

@@ -16,7 +16,8 @@ lang, source and doc_id are never inputs of a prediction.
 Null texts and texts without a letter get the language ``und`` and score 0.
 Repeated rows are rows of their own.  Without a labelled row every text is
 ``und``.  Empty tables give no rows.  Extra columns are ignored, and kept by
-``keep``.
+``keep`` and ``identify``, which replaces columns named as its own.  Languages are
+few: more than ``LANGUAGES`` different values of lang are an error.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, map_batches, table
+from .common import fold_of, map_batches, others_than, table
 
 SAMPLE_TEXTS, SAMPLE_WINDOWS, LENGTH, WIDTHS, FILTERS, EMBEDDING = 2500, 3, 128, (2, 3, 4, 5), 12, 8
-EPOCHS, BATCH, RATE, SEED, UND, REJECT_BELOW = 6, 64, 0.004, 2, "und", 0.3
+EPOCHS, BATCH, RATE, SEED, UND, LANGUAGES, MARGIN = 6, 64, 0.004, 2, "und", 1000, 0.1
 PAD = 256
 CHUNK = 128  # windows at a time: their columns stay in the cache
 
@@ -69,8 +70,29 @@ class Network:
             out[i : i + n] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
         return out
 
+    def gradients(self, xb: np.ndarray, yb: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy; it reaches each filter's best place only."""
+        cols = self._columns(xb)
+        n, places, k = cols.shape
+        conv = (cols.reshape(-1, k) @ self.p["w"]).reshape(n, places, -1)
+        best = conv.argmax(axis=1)
+        pooled = np.take_along_axis(conv, best[:, None], axis=1)[:, 0] + self.p["b"]
+        h = np.maximum(pooled, 0)
+        z = h @ self.p["v"] + self.p["c"]
+        q = np.exp(z - z.max(axis=1, keepdims=True))
+        q /= q.sum(axis=1, keepdims=True)
+        q[np.arange(n), yb] -= 1
+        q /= n
+        dh = (q @ self.p["v"].T) * (pooled > 0)
+        at = cols[np.arange(n)[:, None], best]  # what each filter saw at its best place
+        dat = dh[:, :, None] * (self.p["w"] * self.mask).T[None]
+        de = np.zeros_like(self.p["e"])
+        seen = xb[np.arange(n)[:, None, None], best[:, :, None] + np.arange(self.reach)]
+        np.add.at(de, seen.reshape(-1), dat.reshape(-1, EMBEDDING))
+        return {"e": de, "w": np.einsum("nfk,nf->kf", at, dh) * self.mask, "b": dh.sum(0), "v": h.T @ q, "c": q.sum(0)}
+
     def train(self, x: np.ndarray, y: np.ndarray, seed: int = SEED) -> None:
-        """Adam on cross entropy; the gradient reaches each filter's best place only."""
+        """Adam on cross entropy."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -79,24 +101,7 @@ class Network:
             order = rng.permutation(len(x))
             for i in range(0, len(x), BATCH):
                 xb, yb = x[order[i : i + BATCH]], y[order[i : i + BATCH]]
-                cols = self._columns(xb)
-                n, places, k = cols.shape
-                conv = (cols.reshape(-1, k) @ self.p["w"]).reshape(n, places, -1)
-                best = conv.argmax(axis=1)
-                pooled = np.take_along_axis(conv, best[:, None], axis=1)[:, 0] + self.p["b"]
-                h = np.maximum(pooled, 0)
-                z = h @ self.p["v"] + self.p["c"]
-                q = np.exp(z - z.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(n), yb] -= 1
-                q /= n
-                dh = (q @ self.p["v"].T) * (pooled > 0)
-                at = cols[np.arange(n)[:, None], best]  # what each filter saw at its best place
-                dat = dh[:, :, None] * (self.p["w"] * self.mask).T[None]
-                de = np.zeros_like(self.p["e"])
-                seen = xb[np.arange(n)[:, None, None], best[:, :, None] + np.arange(self.reach)]
-                np.add.at(de, seen.reshape(-1), dat.reshape(-1, EMBEDDING))
-                grads = {"e": de, "w": np.einsum("nfk,nf->kf", at, dh) * self.mask, "b": dh.sum(0), "v": h.T @ q, "c": q.sum(0)}
+                grads = self.gradients(xb, yb)
                 step += 1
                 rate = RATE * (1 - step / (total + EPOCHS + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for name, g in grads.items():
@@ -143,7 +148,9 @@ def predict(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, held_out: object, texts: int = SAMPLE_TEXTS, per_text: int = SAMPLE_WINDOWS, seed: int = SEED) -> Network | None:
     """Train on about ``texts`` texts of each language of ``docs`` outside ``held_out``."""
     usable = docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in docs.filter(~held_out & F.col("lang").isNotNull()).groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in docs.filter(~held_out & F.col("lang").isNotNull()).groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} values of lang: is this column one of languages?")
     if not counts:
         return None
     share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, texts / n)))))
@@ -176,20 +183,25 @@ def fit(docs: DataFrame, held_out: object, texts: int = SAMPLE_TEXTS, per_text:
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """``docs`` (with a column text) with ``lang_pred`` and ``score`` instead of the text."""
-    others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "lang_pred string, score double"])
+    others, schema = others_than(docs, "text", "lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, score = predict(net, b.column("text")) if net else (np.full(len(b), -1), np.zeros(len(b)))
+            best, score = predict(net, b.column(len(others))) if net else (np.full(len(b), -1), np.zeros(len(b)))
             names = pa.array([*(net.languages if net else []), UND]).take(pa.array(np.where(best < 0, len(net.languages) if net else 0, best)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), names, pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], names, pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
+
+    return map_batches(docs.select(*(f"`{c}`" for c in others), "text"), run, ", ".join([*schema, "lang_pred string", "score double"]))
 
-    return map_batches(docs, run, schema)
 
+def keep(docs: DataFrame, net: Network | None, margin: float = MARGIN) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known with some certainty.
 
-def keep(docs: DataFrame, net: Network | None, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with some certainty."""
+    A score is that of chance, one over the number of languages, or more; ``margin``
+    is the part of what is above chance that it must reach, whatever their number.
+    """
+    chance = 1 / len(net.languages) if net else 0.0
+    reject_below = chance + margin * (1 - chance) - 1e-6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

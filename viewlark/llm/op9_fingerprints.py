@@ -4,7 +4,8 @@ Every window of ``WINDOW`` bytes of a text has an entropy; its rarity is the
 corpus's share of windows with that entropy (counted over all texts, in
 ``LEVELS`` steps), so flat and ordinary windows rank low and unusual ones high.
 A window that is the rarest (the leftmost of equals) in ``LEAST`` or more of the
-``NEIGHBOURS`` stretches around it is a feature.  Features are hashed into Bloom
+``NEIGHBOURS`` stretches that hold it is a feature; a stretch is ``NEIGHBOURS``
+windows in a row, or what of these the text has.  Features are hashed into Bloom
 filters of ``BITS`` bits, ``PER_FILTER`` to a filter, one filter after another;
 the chain of filters is the fingerprint.
 
@@ -13,36 +14,38 @@ chance gives, over the most it could be; each filter of the shorter chain takes
 its best partner, and the mean, weighted with the filters' bits, is the
 likeness, from 0 to 1.
 
-Null texts are empty.  A text under ``SHORT`` bytes leaves nothing to choose from:
-all its windows of ``SMALL`` bytes are features (the text itself if it is shorter
-still); an empty one has the empty fingerprint.  Equal texts have equal fingerprints, and likeness 1;
+Null texts are empty.  The rule is one for all lengths: the rarest window of a
+text is in every stretch that could hold it, so a text of a window or more has a
+feature; a text that is shorter is its own only feature, and an empty one has none
+and the empty fingerprint.  Equal texts have equal fingerprints, and likeness 1;
 an empty and another text have likeness 0.  In ``with_next`` the rows follow one
 another by descending doc_id, rows of equal ids by their text, and null ids come
 last.  Empty tables give no rows; extra columns are ignored.
 
 Scale: the corpus pass returns one histogram.  The next document is found by
-dealing the texts once, by ranges of doc_id, and reading each range in order;
-the first row of every range goes to the range before as well.
+dealing the texts once, by ranges of doc_id, one range a task, and reading each range
+in order; the first row of every range goes to the range before as well.  There are
+up to ``RANGES`` ranges; beyond that they grow, and a range is sorted on disk.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, table
 from .op2_language_id import flat_bytes
 
-WINDOW, LEVELS, NEIGHBOURS, LEAST = 64, 1000, 64, 16
+WINDOW, LEVELS, NEIGHBOURS, LEAST = 32, 1000, 64, 16
 BITS, HASHES, PER_FILTER = 2048, 5, 160
-SHORT, SMALL = 256, 8
-ROWS_PER_RANGE, CHUNK_BYTES = 4000, 1 << 19
+ROWS_PER_RANGE, RANGES, CHUNK_BYTES = 4000, 1 << 14, 1 << 19
 
 # c log c in whole parts of 2^-24, so that a window's sum is exact wherever it stands
 _G = np.rint(np.arange(WINDOW + 2) * np.log2(np.maximum(1, np.arange(WINDOW + 2))) * (1 << 24)).astype(np.int64)
@@ -122,38 +125,24 @@ def features(data: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> list[np.nd
 
 
 def _features(x: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
-    def short(a: int, b: int) -> np.ndarray:
-        if b - a < SMALL:
-            return np.frombuffer(hashlib.blake2b(x[a:b].tobytes(), digest_size=8).digest(), np.uint64) if b > a else np.zeros(0, np.uint64)
-        return _hash(x, np.arange(a, b - SMALL + 1), SMALL)
-
+    starts, sizes = ends[:-1], np.diff(ends)
+    out = [np.frombuffer(hashlib.blake2b(x[a : a + n].tobytes(), digest_size=8).digest(), np.uint64) if 0 < n < WINDOW else np.zeros(0, np.uint64) for a, n in zip(starts, sizes)]
     if len(x) < WINDOW:
-        return [short(a, b) for a, b in zip(ends[:-1], ends[1:])]
+        return out
     levels = entropy_levels(x)
-    n = len(levels)
-    inside = whole(ends, n)
-    far = np.int64(4 * LEVELS)
-    key = np.where(inside, rank[levels], far) * (1 << 40) + np.arange(n)
-    low = np.concatenate([key, np.full(NEIGHBOURS - 1, np.iinfo(np.int64).max)])
+    at = np.flatnonzero(whole(ends, len(levels)))
+    if not len(at):
+        return out
+    doc = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - WINDOW + 1))
+    # texts are set apart, so that no stretch has windows of two
+    none = np.iinfo(np.int64).max
+    low = np.full(len(x) + (len(sizes) + 2) * NEIGHBOURS, none)
+    low[at + (doc + 1) * NEIGHBOURS] = rank[levels[at]] * (1 << 40) + at
     for k in (1, 2, 4, 8, 16, 32):  # NEIGHBOURS is their sum and one
         low = np.minimum(low[: len(low) - k], low[k:])
-    # stretches of one text only; a text of few windows has one stretch
-    doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[:n]
-    stretch = inside.copy()
-    ahead = np.arange(n) + NEIGHBOURS - 1
-    last = np.minimum(ahead, n - 1)
-    stretch &= (doc[last] == doc) & inside[last] & (ahead < n)
-    picked = np.bincount(low[stretch] & ((1 << 40) - 1), minlength=n)
-    chosen = picked >= LEAST
-    out = []
-    for a, b in zip(ends[:-1], ends[1:]):
-        if b - a < SHORT:
-            out.append(short(a, b))
-            continue
-        at = a + np.flatnonzero(chosen[a : b - WINDOW + 1])
-        # in a text that repeats itself throughout no window stands out: its different short windows then
-        out.append(_hash(x, at, WINDOW) if len(at) else np.unique(short(a, b)))
-    return out
+    chosen = np.flatnonzero(np.bincount(low[low < none] & ((1 << 40) - 1), minlength=len(x)) >= LEAST)
+    hashes, cut = _hash(x, chosen, WINDOW), np.searchsorted(chosen, ends)
+    return [hashes[cut[i] : cut[i + 1]] if sizes[i] >= WINDOW else out[i] for i in range(len(sizes))]
 
 
 def _hash(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -238,33 +227,40 @@ def _with_next(rank: np.ndarray) -> Callable:
     return run
 
 
+def _range_of(doc_id: Column, bounds: list[int]) -> Column:
+    """Which of the ranges between the falling ``bounds`` an id is in; null ids are in the last."""
+    last = F.lit(len(bounds)).cast("int")
+    if not bounds:
+        return last
+    some = math.isqrt(len(bounds)) + 1  # first among every so many bounds, and then between two of these
+    groups = [bounds[i : i + some] for i in range(0, len(bounds), some)]
+    heads, tails = F.from_json(F.lit(str([g[0] for g in groups])), "array<bigint>"), F.from_json(F.lit(str(groups)), "array<array<bigint>>")
+    group = F.size(F.filter(heads, lambda b: b >= doc_id))
+    within = F.size(F.filter(F.get(tails, group - 1), lambda b: b >= doc_id))
+    return F.when(doc_id.isNull(), last).when(group == 0, F.lit(0)).otherwise((group - 1) * some + within).cast("int")
+
+
 def with_next(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     """Fingerprints of every text, its edited text and its next document's, and how near they are."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
-    total = ids.count()
-    parts = max(1, min(4096, total // ROWS_PER_RANGE))
+    ids, spark = docs.select("doc_id"), docs.sparkSession
+    parts = max(1, min(RANGES, ids.count() // ROWS_PER_RANGE))
     # bounds from a sketch of the ids; any bounds give the same rows
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)), reverse=True) if parts > 1 else []
-    cuts = F.array(*(F.lit(int(b)) for b in bounds)) if bounds else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(cuts, lambda b: b >= F.col("doc_id"))))
+    bounds = sorted({int(b) for b in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)}, reverse=True) if parts > 1 else []
+    part = _range_of(F.col("doc_id"), bounds)
     firsts = sorted(
         ids.select("doc_id", part.alias("part")).groupBy("part").agg(F.max("doc_id").alias("first")).collect(), key=lambda r: r.part
     )  # one row a range
     if not firsts:
-        return docs.sparkSession.createDataFrame([], _SCHEMA)
-    before = {r.first: firsts[i - 1].part for i, r in enumerate(firsts)}  # the range that looks ahead to it; the first: the last
-    found = [k for k in before if k is not None]
-    to = F.create_map(*(x for k in found for x in (F.lit(k), F.lit(before[k])))) if found else F.lit(None).cast("map<bigint,int>")
+        return spark.createDataFrame([], _SCHEMA)
+    # the range that looks ahead to a first row; the first: the last
+    looks = spark.createDataFrame([(r.first, firsts[i - 1].part) for i, r in enumerate(firsts)], "first long, part int")
     # of several rows with the first id, the one with the least text comes first
-    ahead = rows.filter(F.col("doc_id").isin(found)).groupBy("doc_id").agg(F.min("text").alias("text")) if found else rows.limit(0)
-    ahead = ahead.select(to[F.col("doc_id")].alias("part"), "doc_id", "text", F.lit(True).alias("ahead"))
-    if None in before:
-        none = rows.filter("doc_id IS NULL").agg(F.min("text").alias("text"))
-        ahead = ahead.unionByName(none.select(F.lit(before[None]).alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("ahead")))
+    ahead = rows.join(F.broadcast(looks), rows["doc_id"].eqNullSafe(looks["first"])).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
     dealt = (
-        rows.select(part.alias("part"), "doc_id", "text", F.lit(False).alias("ahead")).unionByName(ahead)
-        .repartition(max(1, len(firsts)), "part")
+        rows.select(part.alias("part"), "doc_id", "text", F.lit(False).alias("ahead"))
+        .unionByName(ahead.select("part", "doc_id", "text", F.lit(True).alias("ahead")))
+        .repartitionById(len(bounds) + 1, F.col("part"))
         .sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "text")
         .select("part", "doc_id", "text", "ahead")
     )
