@@ -68,8 +68,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id, x``: the statistics of every row."""
-    return map_batches(docs.select("doc_id", "text"), _measure, "doc_id long, x array<double>")
+    """``doc_id, x``: the statistics of every row; ids of any type."""
+    own = docs.select("doc_id", "text")
+    return map_batches(own, _measure, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 class Fourier:
@@ -184,10 +185,14 @@ def score(measured: DataFrame, model: Model) -> DataFrame:
     return measured.mapInPandas(run, ", ".join(f"`{a}` {b}" for a, b in fields))
 
 
+def _labels(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, y``: one label an id."""
+    return labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+
+
 def labelled(measured: DataFrame, labels: DataFrame, label: str, held_out: object) -> DataFrame:
     """``doc_id, x, y`` of the rows outside the held-out fold that have a label."""
-    y = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    return measured.filter(~held_out).join(y, "doc_id").select("doc_id", "x", "y")
+    return measured.filter(~held_out).join(_labels(labels, label), "doc_id").select("doc_id", "x", "y")
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -200,13 +205,16 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
-    measured = materialise(measure(docs), "statistics")
-    model = fit(labelled(measured, labels, "quality", fold_of(F.col("doc_id"), 5) == 0))
+    # texts with a label alone are measured for the fit, and all as they are scored: each once
+    y = _labels(labels, "quality")
+    train = docs.filter(fold_of(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(y, "doc_id", "left_semi")
+    model = fit(materialise(measure(train).join(y, "doc_id"), "statistics"))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                x = np.array([statistics(t) for t in b.column("text").to_pylist()])
+                x = np.array([statistics(t) for t in b.column(at).to_pylist()])
                 yield b.filter(pa.array(model.score(x) >= threshold))
 
     return map_batches(docs, run, docs.schema)
