@@ -234,6 +234,27 @@ def test_quality_odd_rows(spark):
     found = op6_quality.scores(docs_of(spark), labels).collect()
     assert len(found) == len(ODD) and all(0 <= r.score <= 1 for r in found)
     assert op6_quality.keep(docs_of(spark, []), labels).count() == 0
+    named = docs_of(spark).withColumn("doc_id", F.col("doc_id").cast("string")).withColumns({"y": F.lit(1), "X": F.lit(2)})
+    kept = op6_quality.keep(named, labels.withColumn("doc_id", F.col("doc_id").cast("string")), 0.0)
+    assert kept.count() == len(ODD) and kept.columns == named.columns
+
+
+def test_quality_statistics_against_counting():
+    text = "The CAT sat sat on 12 mats!  It said: héllo | |x\nA-b sat on 12"
+    got, w = dict(zip(op6_quality.STATISTICS, op6_quality.statistics(text))), text.split()
+    raw = text.encode()
+    share = lambda f: sum(map(f, raw)) / len(raw)
+    pairs = list(zip(w, w[1:]))
+    want = {
+        "log_chars": math.log(1 + len(text)), "log_words": math.log(1 + len(w)), "word_length": sum(map(len, w)) / len(w),
+        "upper": share(lambda b: 65 <= b <= 90), "digits": share(lambda b: 48 <= b <= 57), "punctuation": share(lambda b: chr(b) in "!\"'(),-.:;?"),
+        "symbols": share(lambda b: chr(b) in "#$%&*+/<=>@[\\]^_`{|}~"), "space": share(lambda b: b in (9, 32)), "newlines": share(lambda b: b == 10),
+        "non_ascii": share(lambda b: b > 127), "entropy": -sum(raw.count(b) / len(raw) * math.log2(raw.count(b) / len(raw)) for b in set(raw)),
+        "distinct_words": len(set(w)) / len(w), "repeats_next": sum(a == b for a, b in pairs) / len(w), "top_word": max(map(w.count, w)) / len(w),
+        "repeated_pairs": 1 - len(set(pairs)) / (len(w) - 1), "word_ends": sum(not x[-1].isalnum() for x in set(w)) / len(set(w)),
+        "shouted_words": sum(x.isupper() for x in w) / len(w), "piped_words": sum(not x[0].isalnum() for x in w) / len(w),
+    }
+    assert got == pytest.approx(want)
 
 
 # ---- near duplicates
@@ -285,6 +306,7 @@ def test_components_against_brute_force(spark, monkeypatch, k, percent, block):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "key": F.lit("x"), "size": F.lit(2)}).repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op7_near_dedup.classes(df, k, percent).collect()}
     assert got == brute(rows, k, percent)
+    df = df.withColumns({"_id": F.lit(3), "_row": F.lit(4), "place": F.lit(5)})
     kept = op7_near_dedup.dedup(df, k, percent)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in got.items() if i == c) and kept.columns == df.columns
 
@@ -303,6 +325,26 @@ def test_near_duplicates_of_odd_rows(spark):
     assert op7_near_dedup.classes(docs_of(spark, []), 5, 80).count() == 0
 
 
+def test_dedup_of_repeated_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words that are not near"), (2, "A b c d e f"), (None, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_row": F.lit(4), "id": F.lit(5), "_id": F.lit(6)})
+    got = sorted(((r.doc_id, r.text) for r in op7_near_dedup.dedup(df).collect()), key=str)
+    assert got == sorted([(1, "a b c d e f"), (1, "other words that are not near"), (None, "a b c d e f")], key=str)
+
+
+def test_chance_to_miss_a_pair_at_the_threshold():
+    o, r = op7_near_dedup, np.random.default_rng(3)
+    bands, missed, below = o.bands_for(0.85), 0, 0
+    for _ in range(1500):
+        union = r.integers(0, 2**63, 40, dtype=np.int64).astype(np.uint64)
+        a, b = np.unique(union[:37]), np.unique(union[3:])  # 34 of 40 in common
+        sig = o.signatures([a, b], bands * o.ROWS)
+        keys = o.band_keys(sig, bands)
+        missed += not (keys[0] == keys[1]).any()
+        below += (sig[0].astype(np.uint8) == sig[1].astype(np.uint8)).mean() < 0.85 - o.MARGIN
+    assert missed == 0 and below == 0
+
+
 def test_lookup_with_hot_keys(spark):
     big = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(0)).otherwise(F.col("id")).alias("key"), F.col("id").alias("v"))
     unique = spark.range(0, 2500).select(F.col("id").alias("key"), (F.col("id") * 2).alias("w"))

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from viewlark.llm import op4_mixing, op5_chat, op8_decontamination, op10_licenses
+from viewlark.llm import op4_mixing, op5_chat, op7_near_dedup, op8_decontamination, op10_licenses
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -19,7 +19,7 @@ def rows_of(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("module", [op4_mixing, op5_chat, op8_decontamination, op10_licenses])
+@pytest.mark.parametrize("module", [op4_mixing, op5_chat, op7_near_dedup, op8_decontamination, op10_licenses])
 def test_against_sql(spark, module):
     c = duckdb.connect()
     for t in ("documents", "benchmark", "conversations"):
@@ -151,6 +151,21 @@ def test_mixing_does_not_depend_on_slices(spark, monkeypatch):
     assert rows_of(op4_mixing.mix(docs)) == before
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    docs = corpus(spark, {f"s{i}": 3 + i for i in range(40)})
+    counts = op4_mixing.token_counts(docs)
+    exact = {r.source: r.quota for r in op4_mixing.quotas(counts, 0.9, 4.0, None).collect()}
+    monkeypatch.setattr(op4_mixing, "SHARES", 5)  # by classes of like size
+    near = {r.source: r.quota for r in op4_mixing.quotas(counts, 0.9, 4.0, None).collect()}
+    assert exact.keys() == near.keys() and all(near[s] == pytest.approx(q, rel=1e-3) for s, q in exact.items())
+
+
+def test_mixing_leaves_out_sources_without_tokens(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 1), (2, " ", "en", "empty", 1), (3, "c", "en", None, 1), (4, "d", "en", "", 1)], DOCS)
+    got = op4_mixing.mix(docs, entropy=0.0).collect()
+    assert {r.source for r in got} == {"s", ""} and {r.doc_id for r in got} == {1, 3, 4}
+
+
 def test_mixing_odd_rows(spark):
     assert op4_mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     assert op4_mixing.mix(spark.createDataFrame([(1, None, None, None, None), (2, " ", "en", "a", 1)], DOCS)).count() == 0
@@ -182,8 +197,10 @@ def test_templates(spark):
     assert {1, 2, 7, None} <= set(got) and not {4, 5, 6, 8} & set(got)
     assert got[1].n_exact == got[1].n_windows and got[2].n_exact < got[2].n_windows
     assert got[3].n_windows < got[1].n_windows
-    clean = {r.doc_id for r in op8_decontamination.decontaminate(df, items).collect()}
-    assert {4, 5, 6, 8} <= clean and not {1, 2} & clean
+    odd = df.unionByName(df.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long"))).withColumns({"_id": F.lit(1), "id": F.lit(2)})
+    clean = op8_decontamination.decontaminate(odd, items)
+    got = [r.doc_id for r in clean.collect()]
+    assert {4, 5, 6, 8} <= set(got) and not {1, 2} & set(got) and got.count(None) == 1 and clean.columns == odd.columns
 
 
 def test_both_ways_of_joining_agree(spark, monkeypatch):
@@ -246,6 +263,25 @@ def test_copies_that_are_mostly_slots(spark):
     assert found_in(spark, items, docs) == [(0, 0), (1, 1)]
 
 
+def test_short_items(spark):
+    items = ["Blue whales sing", "Who was 44?", "", None, "Yes"]
+    docs = ["They say that blue WHALES sing.", "blue whales eat and sing", "Then: who was 44? He", "who was 45", "so yes, it is", "yesterday"]
+    assert found_in(spark, items, docs) == [(0, 0), (2, 1), (4, 4)]
+
+
+def test_slot_heavy_windows_in_sql_and_query(spark, tmp_path):
+    items = ["The singers were Anna Netrebko, Placido Domingo, Luciano Pavarotti, Maria Callas, Renata Tebaldi and Cecilia Bartoli.", "Compute 12 + 7 * 3 - 15 / 5 and add 44 to 9.", "Blue whales sing"]
+    docs = [f"Some text. {x} More text." for x in items] + [items[1].replace("44", "45"), "nothing"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bench(spark, *items).write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = op8_decontamination.query(spark, str(tmp_path))
+    want = c.execute(f"SELECT {', '.join(df.columns)} FROM ({op8_decontamination.ORACLE_SQL})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and {(r[0], r[1]) for r in want} >= {(1, 1), (2, 2)}
+
+
 # ---- licences
 
 

@@ -16,7 +16,10 @@ is compared, and a link counts only when confirmed on the full sets.
    is confirmed on the full sets (unless the task has joined the two already).
 4. Components of all links; each text gets its set's.
 
-No link between different texts is lost, and no list of all pairs is made: a
+What is lost is what no band shows, and what the signatures' estimate misses by
+more than ``MARGIN`` (over four of its standard deviations): each has a chance of a
+few in a million for a pair at exactly the asked similarity, less for nearer ones
+(tests measure it).  No list of all pairs is made: a
 task emits at most a forest of its members, and a group of n copies costs n
 rows.  Large buckets are cut into blocks, and pairs of blocks are tasks, of at
 most some ten thousand shingles each way; equal sets (which may be a third of
@@ -26,13 +29,15 @@ Words are runs of other than white space; A-Z are lower-cased, nothing else is.
 Null, empty and blank texts have an empty set and are linked with nothing.  A
 row with a null doc_id is linked with nothing, has no component, and is kept.
 A doc_id names one text: of rows that repeat it each gets its row, and if their
-texts differ, links are confirmed on one of these.  Empty tables give no rows.  Extra columns are ignored (``dedup``
+texts differ, links are confirmed on one of these; ``dedup`` keeps one of the rows
+that have the text in common, too.  Empty tables give no rows.  Extra columns are ignored (``dedup``
 keeps them).  Shingles stand for their words as hashes of 64 bits.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -430,15 +435,16 @@ def _forest(ids: list[int], comp: list[int], sets: list[np.ndarray], x: np.ndarr
 
 
 def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, with all columns: of each component the document of the least doc_id, once."""
+    """``docs``, with all columns: of each component the document of the least doc_id, each of its texts once."""
     found = classes(docs, shingle, percent)
     gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")), "gone")
     kept = select_by_id(docs, gone, "left_anti")
     again = materialise(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).count().filter("count > 1").select("id"), "again")
     if again.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy("text", *(F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")))
-    once = select_by_id(kept, again, "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
+    place = f"place_{uuid.uuid4().hex}"  # no column of docs
+    order = Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy("text", *(F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")))
+    once = select_by_id(kept, again, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
     return select_by_id(kept, again, "left_anti").unionByName(once)
 
 
@@ -447,4 +453,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-ORACLE_SQL = None
+#: All pairs with a shingle in common; components by spreading the least id.
+ORACLE_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingled AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM cut
+), sets AS MATERIALIZED (
+  SELECT s, min(doc_id) AS id, len(s) AS n FROM shingled WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s
+), spread AS MATERIALIZED (
+  SELECT id, n, unnest(s) AS x FROM sets
+), links AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM spread a JOIN spread b ON a.x = b.x AND a.id < b.id
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edges AS MATERIALIZED (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT id, id AS label FROM sets UNION SELECT edges.b, label FROM reach JOIN edges ON edges.a = reach.id
+), label AS (
+  SELECT s, min(label) AS component FROM reach JOIN sets USING (id) GROUP BY s
+)
+SELECT doc_id, len(shingled.s)::BIGINT AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(component, doc_id) END AS component_id,
+  coalesce(doc_id = component_id, true) AS kept
+FROM shingled LEFT JOIN label ON shingled.s = label.s
+"""
