@@ -223,3 +223,33 @@ def test_foreign_files(spark, tmp_path):
     pq.write_table(coded, str(tmp_path / "p.parquet"))
     back = parquet.read_encoded(spark, str(tmp_path / "p.parquet"))
     assert back.schema.field("my_x").array_length == 2 and back.read().rows() == [([1.5, -2.0], 7), (None, 8)]
+
+
+def test_one_read_of_a_shared_source(spark, monkeypatch):
+    from viewlark.cache import CachedDerived
+    from viewlark.operators.core import Context
+
+    reads, plain = [], Context.read
+    monkeypatch.setattr(Context, "read", lambda self, table, rows: reads.append(table) or plain(self, table, rows))
+    t = BaseTable.builder(spark, Schema([Field("k", DataType.STRING)])).append_rows([("a",), ("a",), ("b",)]).build()
+    plan = from_table(t).join(from_table(t).group_by("k", count("n")), "k", "k")
+    assert CachedDerived.of(plan.root).table.read().rows() == [("a", 2), ("a", 2), ("b", 1)] and reads == [t]
+
+
+def test_some_columns_of_arrow_files(spark, tmp_path):
+    from viewlark.sources import Format, arrow_ipc, write
+
+    t = BaseTable.of(spark.range(10).selectExpr("id", "id * 2 AS b", "string(id) AS s"), order=["id"])
+    write(t, Format.ARROW, str(tmp_path / "a"))
+    assert arrow_ipc.read(spark, str(tmp_path / "a"), ["s", "id"]).read().rows()[3] == ("3", 3)
+    assert arrow_ipc.read(spark, str(tmp_path / "a")).read().rows()[4] == (4, 8, "4")
+
+
+def test_many_ticks_keep_the_plan_short(spark):
+    from viewlark.sources.wide_book import WideBookTable
+
+    book, short = WideBookTable(spark, ["x"], 20), []
+    for _ in range(18):
+        book.apply_global_tick()
+        short.append(book.frame()._jdf.queryExecution().analyzed().toString().count("cos("))
+    assert max(short) < 8 and book.version == 18 and book.read().row_count == 20

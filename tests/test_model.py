@@ -8,7 +8,7 @@ from viewlark import BaseTable, DataType, Field, RowRange, Schema, SortKey, View
 from viewlark import grid, pretty
 
 TRADES = Schema.builder().add("id", DataType.LONG).add("symbol", DataType.STRING).add("price", DataType.DOUBLE).build()
-ROWS = [(1, "AAPL", 220.0), (2, "MSFT", 410.0), (3, "AAPL", 221.0), (4, "GOOG", 175.0), (5, "MSFT", 411.0)]
+ROWS = [(11, "maple", 3.5), (12, "elm", 0.25), (13, "maple", 8.0), (14, "fir", 1.75), (15, "elm", 6.0)]
 
 
 def trades(spark):
@@ -56,9 +56,9 @@ def test_sealed_table(spark):
     assert t.read(Viewport.of_rows(1, 3)).rows() == ROWS[1:3]
     assert t.read(Viewport.of_rows(4, 100)).rows() == ROWS[4:]
     assert t.read(Viewport.of_rows(50, 60)).rows() == []
-    assert t.read(Viewport(columns=("price", "id"), limit=2)).rows() == [(220.0, 1), (410.0, 2)]
+    assert t.read(Viewport(columns=("price", "id"), limit=2)).rows() == [(3.5, 11), (0.25, 12)]
     assert t.read(Viewport(limit=0)).rows() == []
-    assert t.read(Viewport(order=(SortKey.desc("price"),), limit=2)).column("id") == [5, 2]
+    assert t.read(Viewport(order=(SortKey.desc("price"),), limit=2)).column("id") == [13, 15]
     with pytest.raises(RuntimeError):
         t.append_row(6, "X", 1.0)
     with pytest.raises(KeyError):
@@ -128,7 +128,7 @@ def test_pretty(spark):
     assert out.splitlines()[0] == "# | id   | symbol | price " and out.splitlines()[2] == "--+------+--------+-------"
     assert out.endswith("[5 rows × 3 columns, version=0]\n")
     cut = trades(spark).to_pretty_string(2, 2, 3)
-    assert "... (3 more rows)" in cut and "showing first 2" in cut and "AAP" in cut
+    assert "... (3 more rows)" in cut and "showing first 2" in cut and "map" in cut
     assert "null" in BaseTable.builder(spark, TRADES).append_row(1, None, None).build().to_pretty_string()
     assert pretty.format_column(trades(spark).read(), "symbol", 2).endswith("... (3 more)\n[5 rows]\n")
     assert pretty.instant(1) == "1970-01-01T00:00:00.000000001Z" and pretty.instant(-1) == "1969-12-31T23:59:59.999999999Z"

@@ -15,7 +15,7 @@ from viewlark.functions.expressions import predicate
 
 NAN, INF = float("nan"), float("inf")
 SALES = Schema([Field("id", DataType.LONG), Field("product", DataType.STRING), Field("amount", DataType.DOUBLE)])
-SOLD = [(1, "Apple", 1.0), (2, "Banana", 5.0), (3, "Cherry", 3.0), (4, "Apple", 2.0)]
+SOLD = [(21, "lamp", 0.5), (22, "desk", 9.5), (23, "shelf", 4.0), (24, "lamp", 2.25)]
 
 
 def table(spark, schema, rows):
@@ -94,11 +94,11 @@ def test_arithmetic(spark):
 def test_projection_chain_and_columns_of_viewports(spark):
     t = table(spark, SALES, SOLD)
     p = from_table(t).filter(double_gt("amount", 1.5)).project("amount", "id")
-    assert read(p) == [(5.0, 2), (3.0, 3), (2.0, 4)]
-    assert read(p, Viewport(columns=("id",), limit=2)) == [(2,), (3,)]
-    assert read(p, Viewport(rows=RowRange.head(3))) == [(5.0, 2), (3.0, 3)]  # the window is of the source's rows
-    again = from_table(p.build()).filter_expr(col("id") > 2)
-    assert read(again) == [(3.0, 3), (2.0, 4)]
+    assert read(p) == [(9.5, 22), (4.0, 23), (2.25, 24)]
+    assert read(p, Viewport(columns=("id",), limit=2)) == [(22,), (23,)]
+    assert read(p, Viewport(rows=RowRange.head(3))) == [(9.5, 22), (4.0, 23)]  # the window is of the source's rows
+    again = from_table(p.build()).filter_expr(col("id") > 22)
+    assert read(again) == [(4.0, 23), (2.25, 24)]
     with pytest.raises(KeyError):
         from_table(t).project("nope")
 

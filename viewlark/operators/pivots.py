@@ -37,7 +37,10 @@ class Pivot(Operator):
         return f"{self.up.signature()} | pivot({self.row_key}, {self.pivot_column}, {self.value})"
 
 
-def discover_keys(df: DataFrame, column: str) -> list[str]:
-    """Distinct values of ``column`` that are not null, in order of first appearance; they become columns, so there must be few."""
+def discover_keys(df: DataFrame, column: str, most: int = 10_000) -> list[str]:
+    """Distinct values of ``column`` that are not null, in order of first appearance; they become columns: over ``most`` are an error."""
     firsts = df.filter(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("key")).agg(F.min(POS).alias(POS))
-    return [r["key"] for r in firsts.orderBy(POS).collect()]
+    keys = [r["key"] for r in firsts.orderBy(POS).limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"over {most} different values of {column}")
+    return keys

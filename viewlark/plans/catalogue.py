@@ -22,7 +22,7 @@ from ..shared import folder
 from ..sources import Format, read, write
 from ..sources.wide_book import WideBookTable
 from ..streaming import StreamedTable, stream
-from ..tables import BaseTable
+from ..tables import BaseTable, Slice
 from ..viewport import RowRange, SortKey, Viewport
 from .planner import QueryPlanner, from_table
 
@@ -428,13 +428,25 @@ def wide_book_rollup(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(from_table(df).group_by("book", sum_("l_quantity", "quantity"), sum_("l_extendedprice", "price")).to_df(), "quantity", "price")
 
 
-@_query("SELECT 'BOOK_' || i::VARCHAR AS book, 1000::BIGINT AS n FROM range(10) t(i)")
+@_query("SELECT 'BOOK_' || i::VARCHAR AS book, 1000::BIGINT AS n, true AS same, true AS moved, true AS kept FROM range(10) t(i)")
 def wide_book_ticks(spark: SparkSession, d: str) -> DataFrame:
-    """The demonstration book after two ticks: sums by book are those of its trades."""
-    book = WideBookTable(spark, ["1Y", "5Y", "10Y"], 10_000)
+    """The demonstration book after ten ticks: sums by book are those of its trades, every tick moves them, and a version stays as it is."""
+    book = WideBookTable(spark, ["1Y", "10Y"], 10_000)
+    sums = [count("n"), sum_("1Y", "a"), sum_("10Y", "b")]
+    first = from_table(book).group_by("book", *sums).build().read().to_df().drop("n").toDF("book", "a0", "b0")
+    for _ in range(9):
+        book.apply_global_tick()
+    ninth = book.read_aggregated_by_book().to_df().toDF("book", "a9", "b9")
+    again = from_table(book).group_by("book", sum_("1Y", "again")).build().read().to_df()
     book.apply_global_tick()
-    book.apply_global_tick()
-    return from_table(book).group_by("book", count("n")).to_df()
+    rows = from_table(book).group_by("book", *sums).build().read().to_df()
+    by_book = book.read_aggregated_by_book().to_df().toDF("book", "a10", "b10")
+    joined = rows.join(by_book, "book").join(first, "book").join(ninth, "book").join(again, "book")
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) < 1e-3
+    return joined.select(
+        "book", "n", (near("a", "a10") & near("b", "b10")).alias("same"),
+        (~near("a0", "a9") & ~near("a9", "a10") & ~near("b0", "b9") & ~near("b9", "b10")).alias("moved"), near("a9", "again").alias("kept"),
+    )
 
 
 _SEEN = "SELECT '{0}' AS seen, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events {1} GROUP BY event_type"
@@ -496,12 +508,120 @@ def live_pivot_stream(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(spark.read.parquet(f"{base}/out"), "0", "1")
 
 
-@_query("SELECT a.n_name AS n_name, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+@_query("SELECT n_name, n FROM nation JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) USING (n_regionkey)")
 def cached_self_join(spark: SparkSession, d: str) -> DataFrame:
-    """A source that a plan reads twice is read once."""
+    """A source that a plan reads twice is read once (``test_one_read_of_a_shared_source`` counts)."""
     nation = BaseTable.of(_load(spark, d, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("r")))
-    other = BaseTable.of(_load(spark, d, "nation").select(F.col("n_name").alias("other"), F.col("n_regionkey").cast("string").alias("r2")))
-    return pull_caching(from_table(nation).join(other, "r", "r2").project("n_name", "other").root).to_df()
+    return pull_caching(from_table(nation).join(from_table(nation).group_by("r", count("n")).build(), "r", "r").project("n_name", "n").root).to_df()
+
+
+# ---- order, empty input, tables built by rows, subscriptions
+
+
+def _listed(spark: SparkSession, found: Slice, ddl: str) -> DataFrame:
+    """The rows of a short read, numbered as they come."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(found.rows())], f"place long, {ddl}")
+
+
+def _in_order(spark: SparkSession, d: str, name: str, key: str) -> BaseTable:
+    return BaseTable.of(_load(spark, d, name), order=[key])
+
+
+@_query("""SELECT row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS place, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority QUALIFY place < 4""")
+def group_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Groups come in the order in which their keys were first seen."""
+    p = from_table(_in_order(spark, d, "orders", "o_orderkey")).group_by("o_orderpriority", count("n"))
+    return _listed(spark, p.build().read(Viewport(limit=4)), "o_orderpriority string, n long")
+
+
+@_query("SELECT 0::BIGINT AS n_groups, 0::BIGINT AS n_cells")
+def group_of_nothing(spark: SparkSession, d: str) -> DataFrame:
+    none = _plan(spark, d, "orders").filter(long_gt("o_orderkey", 1 << 60))
+    groups = none.group_by("o_orderpriority", count("n"), sum_("o_totalprice", "total")).to_df()
+    cells = none.pivot("o_orderpriority", "o_orderstatus", "o_totalprice", ["F", "O"]).to_df()
+    return groups.agg(F.count("*").alias("n_groups")).crossJoin(cells.agg(F.count("*").alias("n_cells")))
+
+
+@_query("""SELECT row_number() OVER (ORDER BY min(o_orderkey)) - 2 AS place, o_orderpriority,
+  round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 0), 2) AS "P" FROM orders WHERE o_orderstatus IN ('P', 'O') GROUP BY o_orderpriority QUALIFY place BETWEEN 0 AND 2""")
+def pivot_row_order(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a pivot come as their keys were first seen; a viewport cuts rows and columns of the result."""
+    p = from_table(_in_order(spark, d, "orders", "o_orderkey")).pivot("o_orderpriority", "o_orderstatus", "o_totalprice", ["P", "O"])
+    found = p.build().read(Viewport(rows=RowRange.of(1, 4), columns=("o_orderpriority", "P")))
+    return _rounded(_listed(spark, found, "o_orderpriority string, `P` double"), "P")
+
+
+_ODD = "CASE event_id % 5 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN -0.0 WHEN 2 THEN 0.0 ELSE 1 + abs(value) END"
+
+
+@_query(f"""SELECT 'up' AS way, row_number() OVER (ORDER BY {_ODD}, event_id) - 1 AS place, event_id FROM events QUALIFY place < 50
+UNION ALL SELECT 'down', row_number() OVER (ORDER BY {_ODD} DESC, event_id) - 1 AS place, event_id FROM events QUALIFY place < 50""")
+def sort_nan_and_zeros(spark: SparkSession, d: str) -> DataFrame:
+    """NaN is the greatest value, -0.0 and 0.0 are equal, and equals stay as they were, both ways."""
+    odd = F.when(F.expr("event_id % 5 = 0"), F.lit(float("nan"))).when(F.expr("event_id % 5 = 1"), F.lit(-0.0)).when(F.expr("event_id % 5 = 2"), F.lit(0.0))
+    events = BaseTable.of(_load(spark, d, "events").select("event_id", odd.otherwise(1 + F.abs("value")).alias("value")), order=["event_id"])
+    parts = []
+    for way, ascending in (("up", True), ("down", False)):
+        found = from_table(events).order_by("value", ascending=ascending).build().read(Viewport(columns=("event_id",), limit=50))
+        parts.append(_listed(spark, found, "event_id long").withColumn("way", F.lit(way)))
+    return parts[0].unionByName(parts[1])
+
+
+@_query("SELECT true AS refused, count(*) AS n FROM events")
+def sort_null_key(spark: SparkSession, d: str) -> DataFrame:
+    """A null sort key is an error, unless ``nulls`` says where it goes."""
+    events = BaseTable.of(_load(spark, d, "events").select("event_id", F.expr("nullif(event_id, 7)").alias("key")), order=["event_id"])
+    try:
+        from_table(events).order_by("key").build().read().rows()
+        refused = False
+    except Exception:  # Spark's own error, whose class depends on where it is raised
+        refused = True
+    n = from_table(events).order_by("key", nulls="last").to_df().agg(F.count("*").alias("n"))
+    return n.withColumn("refused", F.lit(refused))
+
+
+@_query("""SELECT 'live' AS made, r_regionkey, r_name FROM region UNION ALL SELECT 'live', 90, NULL UNION ALL SELECT 'live', 91, 'set'
+UNION ALL SELECT 'built', r_regionkey, r_name FROM region""")
+def tables_by_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A live table by ``append_row`` and ``RowAppender``, sealed in the end, and a sealed one by its builder."""
+    schema = Schema([Field("r_regionkey", DataType.INT), Field("r_name", DataType.STRING)])
+    live, built = BaseTable.create(spark, schema), BaseTable.builder(spark, schema)
+    for r in _load(spark, d, "region").collect():  # five rows
+        live.append_row(r.r_regionkey, r.r_name)
+        built.append_row(r.r_regionkey, r.r_name)
+    live.row().set_int("r_regionkey", 90).commit()
+    live.row().set_int("r_regionkey", 91).set_string("r_name", "set").commit()
+    live.seal()
+    try:
+        live.append_row(92, "late")
+    except RuntimeError:
+        pass
+    made = [(name, t.read().to_df()) for name, t in (("live", live), ("built", built.build()))]
+    return made[0][1].withColumn("made", F.lit("live")).unionByName(made[1][1].withColumn("made", F.lit("built")))
+
+
+@_query("SELECT event_type, n, total FROM (SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type) WHERE n > 10")
+def derived_as_source(spark: SparkSession, d: str) -> DataFrame:
+    """A derived table is a source like any other."""
+    grouped = _plan(spark, d, "events").group_by("event_type", count("n"), sum_("value", "total")).build()
+    return _rounded(from_table(grouped).filter(long_gt("n", 10)).to_df(), "total")
+
+
+@_query("""SELECT * FROM (SELECT unnest([0, 1, 2, 3, 4]) AS place, unnest([0, 1, 2, 2, 2]) AS version,
+  unnest([0, count(*) FILTER (event_type = 'click'), count(*) FILTER (event_type IN ('click', 'view')), 3, 0]) AS n,
+  unnest([0, 1, 2, 2, 1]) AS n_groups FROM events) WHERE place < 4""")
+def subscription_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """What subscriptions to a live table and to a table derived from it are given: at once, after appends and a new viewport, and never after close."""
+    events, seen, groups = _load(spark, d, "events").select("event_id", "event_type"), [], []
+    live = BaseTable.create(spark, Schema([Field("event_id", DataType.LONG), Field("event_type", DataType.STRING)]))
+    derived = from_table(live).group_by("event_type", count("n")).build()
+    with live.subscribe(Viewport(), lambda s: seen.append((s.version, s.row_count))) as own, derived.subscribe(Viewport(), lambda s: groups.append(s.row_count)) as other:
+        live.append_frame(events.filter("event_type = 'click'"))
+        live.append_frame(events.filter("event_type = 'view'"))
+        own.update_viewport(Viewport.of_rows(0, 3))
+        other.update_viewport(Viewport())
+    live.append_frame(events.filter("event_type = 'error'"))
+    return spark.createDataFrame([(i, v, n, g) for i, ((v, n), g) in enumerate(zip(seen, groups, strict=True))], "place int, version int, n long, n_groups int")
 
 
 # ---- the flagship

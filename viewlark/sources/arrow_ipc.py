@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -94,20 +95,30 @@ class ArrowIpcReader(DataSourceReader):
     def partitions(self) -> list[_Batch]:
         store, _ = _store(self.path)
         out = []
-        for k, f in enumerate(_files(self.path)):
+
+        def batches(f: str) -> int:
             with store.open_input_file(f) as opened, pa.ipc.open_file(opened) as file:
-                out += [_Batch(f, b, k) for b in range(file.num_record_batches)]
+                return file.num_record_batches
+
+        files = _files(self.path)
+        with ThreadPoolExecutor(32) as pool:  # footers alone, many at a time
+            for k, (f, n) in enumerate(zip(files, pool.map(batches, files))):
+                out += [_Batch(f, b, k) for b in range(n)]
         return out or [_Batch("", -1, 0)]
 
     def read(self, partition: _Batch) -> Iterator[pa.RecordBatch]:
         if partition.batch < 0:
             return
         store, _ = _store(self.path)
-        with store.open_input_file(partition.path) as opened, pa.ipc.open_file(opened) as file:
-            b = file.get_batch(partition.batch)
+        names = [f.name for f in self.schema if f.name != POS]
+        with store.open_input_file(partition.path) as opened, pa.ipc.open_file(opened) as whole:
+            wanted = [whole.schema.get_field_index(n) for n in names]
+        options = pa.ipc.IpcReadOptions(included_fields=wanted)  # what is not asked for is not read
+        with store.open_input_file(partition.path) as opened, pa.ipc.open_file(opened, options=options) as file:
+            b = file.get_batch(partition.batch).select(names)
             arrays = [_plain(b.column(i), field_of(b.schema.field(i))) for i in range(b.num_columns)]
-            first = (partition.at << 48) + (partition.batch << 24)  # files and batches in order
-            pos = pa.array(range(first, first + b.num_rows), pa.int64())
+            place = [pa.array([k] * b.num_rows, pa.int64()) for k in (partition.at, partition.batch)]  # files and batches in order
+            pos = pa.StructArray.from_arrays([*place, pa.array(range(b.num_rows), pa.int64())], ["file", "batch", "row"])
             yield pa.RecordBatch.from_arrays([*arrays, pos], [*b.schema.names, POS])
 
 
@@ -165,7 +176,9 @@ class ArrowIpcSource(DataSource):
             raise FileNotFoundError(f"no Arrow file in {path}")
         with store.open_input_file(files[0]) as opened, pa.ipc.open_file(opened) as file:
             own = Schema([field_of(f) for f in file.schema]).to_spark()
-        return T.StructType([*own, T.StructField(POS, T.LongType())])
+        wanted = json.loads(self.options.get("columns", "null"))
+        place = T.StructType([T.StructField(n, T.LongType()) for n in ("file", "batch", "row")])
+        return T.StructType([*(f for f in own if wanted is None or f.name in wanted), T.StructField(POS, place)])
 
     def reader(self, schema: T.StructType) -> ArrowIpcReader:
         return ArrowIpcReader(self.options["path"], schema)
@@ -180,14 +193,17 @@ def _registered(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read(spark: SparkSession, path: str) -> BaseTable:
+def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> BaseTable:
+    """A sealed table of all columns, or of some: then no others are read."""
     store, _ = _store(path)
     files = _files(path)
     if not files:
         raise FileNotFoundError(f"no Arrow file in {path}")
     with store.open_input_file(files[0]) as opened, pa.ipc.open_file(opened) as file:
         own = Schema([field_of(f) for f in file.schema])
-    df = _registered(spark).read.format(NAME).load(path)
+    if columns is not None:
+        own = Schema([f for f in own.select(columns).fields])
+    df = _registered(spark).read.format(NAME).option("columns", json.dumps(columns)).load(path)
     marked = [F.col(f"`{f.name}`").alias(f.name, metadata=f.to_spark().metadata) for f in own.fields]
     return BaseTable.of(df.select(*marked, POS), own)
 

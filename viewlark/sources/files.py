@@ -19,10 +19,13 @@ class Format(enum.Enum):
     PARQUET = "parquet"
 
 
-def read(spark: SparkSession, fmt: Format, path: str, schema: Schema | None = None) -> BaseTable:
-    """A sealed table.  ``schema`` says how to take a CSV file's columns; the other formats have their own."""
+def read(spark: SparkSession, fmt: Format, path: str, schema: Schema | None = None, multi_line: bool = True) -> BaseTable:
+    """A sealed table.  ``schema`` says how to take a CSV file's columns; the other formats have their own.
+
+    ``multi_line=False`` lets a large CSV file be read by many tasks, if no value of it has a line break.
+    """
     if fmt is Format.CSV:
-        return csv.read(spark, path, schema)
+        return csv.read(spark, path, schema, multi_line)
     return (arrow_ipc if fmt is Format.ARROW else parquet).read(spark, path)
 
 
@@ -38,7 +41,7 @@ class TableIO:
 
     @staticmethod
     def reader(fmt: Format):  # noqa: ANN205
-        return lambda spark, path, schema=None: read(spark, fmt, path, schema)
+        return lambda spark, path, schema=None, multi_line=True: read(spark, fmt, path, schema, multi_line)
 
     @staticmethod
     def writer(fmt: Format):  # noqa: ANN205

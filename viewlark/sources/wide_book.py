@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..operators.core import POS, Context
 from ..schema import DataType, Field, Schema
+from ..shared import folder
 from ..tables import Slice, Subscription, Table, _Fixed, finish
 from ..viewport import ALL, Viewport
 
 #: Fixed values of the demonstration.
 BOOKS, SPREAD, SHOCK = 10, 25_000.0, 400.0
+KEPT_TICKS = 8
 
 
 class WideBookTable(Table):
@@ -28,6 +30,7 @@ class WideBookTable(Table):
         self.schema = Schema([Field("trades", DataType.STRING), Field("book", DataType.STRING), *(Field(b, DataType.DOUBLE) for b in buckets)])
         self.aggregate_schema = Schema([Field("book", DataType.STRING), *(Field(b, DataType.DOUBLE) for b in buckets)])
         self._prefix, self._ticks, self._listeners = prefix, [], []
+        self._base: tuple[int, str] | None = None
 
     @property
     def version(self) -> int:
@@ -46,19 +49,26 @@ class WideBookTable(Table):
         return (F.pmod(h, F.lit(1 << 52)) + 1).cast("double") / float((1 << 52) + 1)
 
     def frame(self) -> DataFrame:
-        cells = []
+        cells, done = [], self._base[0] if self._base else 0
         for k, name in enumerate(self.buckets):
-            value = (self._uniform(k, 0) * 2 - 1) * SPREAD
-            for i, _ in enumerate(self._ticks):  # a normal draw, by Box and Muller
+            value = F.col(f"`{name}`") if self._base else (self._uniform(k, 0) * 2 - 1) * SPREAD
+            for i in range(done, len(self._ticks)):  # a normal draw, by Box and Muller
                 a, b = self._uniform(k, 2 * i + 1), self._uniform(k, 2 * i + 2)
                 value = value + F.sqrt(F.log(a) * -2.0) * F.cos(b * 6.283185307179586) * SHOCK
             cells.append(value.alias(name))
         book = F.concat(F.lit("BOOK_"), (F.col("id") % BOOKS).cast("string"))
+        if self._base:
+            rows = self.spark.read.parquet(self._base[1]).withColumnRenamed(POS, "id")
+            return rows.select("trades", "book", *cells, F.col("id").alias(POS))
         return self.spark.range(self.trades).select(F.concat(F.lit(self._prefix), F.col("id").cast("string")).alias("trades"), book.alias("book"), *cells, F.col("id").alias(POS))
 
     def apply_global_tick(self) -> None:
-        """Shock every cell: a new version."""
+        """Shock every cell: a new version.  Every ``KEPT_TICKS`` a version is written, so that plans stay short."""
         self._ticks.append(len(self._ticks))
+        if len(self._ticks) % KEPT_TICKS == 0:
+            path = folder(self.spark)
+            self.frame().write.parquet(path)
+            self._base = (len(self._ticks), path)
         for listener in list(self._listeners):
             listener(self.version)
 

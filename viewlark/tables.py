@@ -11,6 +11,7 @@ import threading
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable
 from datetime import datetime, timezone
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from . import pretty
 from .operators.core import POS, Context, Operator, backquoted, cut
 from .schema import DataType, Field, Schema
+from .shared import folder
 from .viewport import ALL, RowRange, Viewport
 
 Listener = Callable[[int], None]
@@ -179,7 +181,7 @@ class BaseTable(Table):
         self.spark, self.schema = spark, schema
         self._struct = schema.to_spark()
         self._lock = threading.RLock()
-        self._batches: list[DataFrame] = []
+        self._batches: list[DataFrame | str] = []  # frames, and places of what was written
         self._rows: list[tuple] = []
         self._uncounted: list[DataFrame] = []
         self._size, self._version, self._sealed = 0, 0, False
@@ -293,15 +295,25 @@ class BaseTable(Table):
             listener(version)
 
     def _flush(self) -> None:
-        self._batches.append(self.spark.createDataFrame(self._rows, T.StructType([*self._struct, self._POS])))
+        """Write the gathered rows to shared storage: the driver holds no more than ``BATCH_ROWS`` of them."""
+        path = folder(self.spark)
+        self.spark.createDataFrame(self._rows, T.StructType([*self._struct, self._POS])).write.parquet(path)
+        self._batches.append(path)
         self._rows = []
 
+    def _stored(self, paths: list[str]) -> DataFrame:
+        own = T.StructType([*self._struct, self._POS])
+        df = self.spark.read.schema(own).parquet(*paths)
+        return df.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in own))
+
     def frame(self) -> DataFrame:
         if self._given is not None:
             return self._given
         with self._lock:
             if self._frame is None or self._frame[0] != self._version:
-                parts = list(self._batches)
+                # batches on storage that follow one another are one scan
+                runs = groupby(self._batches, key=lambda b: isinstance(b, str))
+                parts = [df for stored, run in runs for df in ([self._stored(list(run))] if stored else run)]
                 if self._rows or not parts:
                     parts.append(self.spark.createDataFrame(self._rows, T.StructType([*self._struct, self._POS])))
                 df = parts[0]

@@ -97,7 +97,7 @@ class Server:
             return 200, grid.infinite_block(Slice.empty(spark, schema, self.table.version), last)
         end = _number(asked.get("endRow"), start + min(MAX_ROWS, last - start))
         if end <= start:
-            return 400, json.dumps({"error": "endRow must be greater than startRow"})
+            return 400, json.dumps({"error": "an empty block: endRow has to lie behind startRow"})
         rows = RowRange.of(start, min(end, start + MAX_ROWS)).intersect(RowRange.head(last)).intersect(self.viewport.rows)
         own = Viewport(rows, self.viewport.columns, self.viewport.order, self.viewport.limit)
         return 200, grid.infinite_block(self.table.read_aggregated_by_book(own) if by_book else self.table.read(own), last)
