@@ -191,11 +191,10 @@ def test_toxicity_scores_against_one_window_at_a_time():
     )
     for doc, got in zip(docs, model.score(docs)):
         found = [w[i : i + 24] for w in re.findall(r"[^\W\d_]+", (doc or "").lower()) for i in range(0, len(w), 24)]
-        diffs = []
-        for i in range(0, len(found), 2):
-            window = f" {' '.join(found[i : i + 2])} ".encode() + bytes(24)
-            n = [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(base + e.rjust(size) + b"\n" * 16, dict_type=1), compression_params=params).compress(window)) for e in ends]
-            diffs.append(n[0] - n[1])
+        made = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(base + e.rjust(size) + b"\n" * 16, dict_type=1), compression_params=params) for e in ends]
+        differ = lambda w: (lambda n: n[0] - n[1])([len(c.compress(f" {w} ".encode() + bytes(24))) for c in made])
+        pairs = [found[i : i + 2] for i in range(0, len(found), 2)]
+        diffs = [differ(" ".join(p)) if any(map(differ, p)) else 0 for p in pairs]
         hits = sum(d >= 2 for d in diffs)
         z = -1 + 0.5 * (hits > 0) + 0.25 * math.log1p(hits) + math.sqrt(hits / max(1, len(diffs))) + 0.2 * max([0, *diffs]) / 4
         assert got == pytest.approx(1 / (1 + math.exp(-z)))
@@ -203,11 +202,13 @@ def test_toxicity_scores_against_one_window_at_a_time():
 
 
 def test_long_texts_are_read_in_parts(monkeypatch):
-    text = " ".join(f"w{i}x" for i in range(999)) + " end"
-    whole = [w for some in op3_toxicity.windows(text) for w in some]
+    text = " ".join("w" + chr(97 + i % 26) + chr(97 + i // 26) + "x" for i in range(600)) + " zqxwort wrqzkel " * 8
+    model = op3_toxicity.Model(op3_toxicity.Distance(b"one two three " * 40, b" ", b" wrqzkel zqxwort "))
+    whole = model.spectra([text, "", "zqxwort"])
     monkeypatch.setattr(op3_toxicity, "PIECE", 10)
     monkeypatch.setattr(op3_toxicity, "BLOCK", 50)
-    assert [w for some in op3_toxicity.windows(text) for w in some] == whole
+    monkeypatch.setattr(op3_toxicity, "MEMO", 20)
+    assert (model.spectra([text, "", "zqxwort"]) == whole).all() and whole[0].sum() == 308 and whole[0, 3 - op3_toxicity.LOWEST :].sum() == 8
 
 
 @needs_data
