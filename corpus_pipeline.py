@@ -48,7 +48,8 @@ STAGES = [
     ("mix", mix),
 ]
 
-#: The stages' models are learned, which SQL cannot express; tests hold each stage against a brute-force version.
+#: Two stages' models are learned, which SQL cannot express.  Tests hold each stage against a plain loop over its input: the models' scores text by
+#: text, all pairs of shingle sets, the SQL of decontamination and of mixing on what the stage was given.
 ORACLE_SQL = None
 
 

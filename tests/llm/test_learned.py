@@ -467,6 +467,56 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, data).count() == docs.count()
 
 
+@needs_data
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from viewlark.llm import op4_mixing, op8_decontamination
+
+    small = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = lambda df: {r.doc_id for r in df.collect()}
+    # quality: the model's score of each text alone
+    y = op6_quality._labels(labels, "quality")
+    train = docs.filter(fold_of(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(y, "doc_id", "left_semi")
+    model = op6_quality.fit(op6_quality.measure(train).join(y, "doc_id"))
+    want = {i for i, t in texts.items() if model.score(np.array([op6_quality.statistics(t)]))[0] >= op6_quality.THRESHOLD}
+    assert ids(stages["quality"](spark, docs, small)) == want
+    # language: each text alone, over the part of what is above chance
+    net = op2_language_id.fit(docs, fold_of(F.col("doc_id"), 5) == 0)
+    chance = 1 / len(net.languages)
+    told = {i: op2_language_id.predict(net, pa.array([t], pa.string())) for i, t in texts.items()}
+    want = {i for i, (k, s) in told.items() if k[0] >= 0 and s[0] >= chance + op2_language_id.MARGIN * (1 - chance) - 1e-6}
+    assert ids(stages["language"](spark, docs, small)) == want
+    # near duplicates: all pairs
+    assert ids(stages["near_dedup"](spark, docs, small)) == {i for i, (_, c) in brute(list(texts.items()), 5, 80).items() if i == c}
+    # decontamination: what the SQL finds goes, and what shares no five words with the benchmark stays
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    c.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{small}/benchmark.parquet'")
+    found = {r[0] for r in c.execute(f"SELECT DISTINCT doc_id FROM ({op8_decontamination.ORACLE_SQL})").fetchall()}
+    kept = ids(stages["decontaminate"](spark, docs, small))
+    fives = set().union(*(shingles(r[0], 5) for r in c.execute("SELECT text FROM benchmark").fetchall()))
+    assert found and not kept & found and {i for i, t in texts.items() if not shingles(t, 5) & fives} <= kept
+    # mixing: the SQL over the stage's input
+    mixed = stages["mix"](spark, docs, small)
+    rows = c.execute(f"SELECT {', '.join(mixed.columns)} FROM ({op4_mixing.ORACLE_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, mixed.collect()))) == sorted(map(str, rows))
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    """Nulls in every column, repeated rows, blank and long texts, columns with clashing names."""
+    import corpus_pipeline
+
+    more = [(10 + i, f"some plain words of text number {i} that are not near others {i * 7} at all", "en", "s", 1) for i in range(6)]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = docs_of(spark, ODD + more).withColumns({"_id": F.lit(1), "_row": F.lit(2), "lang_pred": F.lit("x"), "hash": F.lit(1), "tokens": F.lit("t")})
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert name == "mix" or out.columns == docs.columns, name
+        assert len({(r.doc_id) for r in out.collect()} - {None, 1, 2, 3, 4, *range(10, 16)}) == 0, name
+
+
 def test_pipeline_stages_take_empty_tables(spark):
     import corpus_pipeline
 
