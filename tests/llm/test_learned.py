@@ -201,6 +201,21 @@ def test_toxicity_scores_against_one_window_at_a_time():
     assert model.score(docs)[0] > model.score(docs)[1]
 
 
+def test_every_window_is_compressed():
+    distance = op3_toxicity.Distance(b" plain words of ordinary talk " * 40, b" ", b" wrqzkel zqxwort ")
+    r = random.Random(5)
+    heads, tails = ["barel", "wrakel", "plain", "vuzkel"], ["zqa", "zqxb", "talk", "zquv"]
+    text = " ".join(r.choice(heads if i % 2 == 0 else tails) for i in range(201))
+    alone = lambda words: int(distance([f" {words} ".encode()])[0])
+    words = text.split()
+    diffs = [alone(" ".join(words[i : i + 2])) for i in range(0, len(words), 2)]
+    # words that cost the same, each alone, and differ as a window: their end and beginning are the toxic dictionary's
+    assert any(d and not any(map(alone, words[2 * k : 2 * k + 2])) for k, d in enumerate(diffs))
+    got = op3_toxicity.Model(distance).spectra(["", text, None, text])
+    want = np.bincount(np.array(diffs) - op3_toxicity.LOWEST, minlength=op3_toxicity.CELLS)
+    assert (got[1] == want).all() and (got[3] == want).all() and not got[[0, 2]].any()
+
+
 def test_long_texts_are_read_in_parts(monkeypatch):
     text = " ".join("w" + chr(97 + i % 26) + chr(97 + i // 26) + "x" for i in range(600)) + " zqxwort wrqzkel " * 8
     model = op3_toxicity.Model(op3_toxicity.Distance(b"one two three " * 40, b" ", b" wrqzkel zqxwort "))

@@ -3,8 +3,8 @@
 A text's words (runs of letters, in lower case, cut at ``LONGEST``) are read in
 windows of ``WINDOW`` words.  Each window is compressed with the ordinary and
 with the toxic dictionary, and the difference of the lengths tells which of the
-two it belongs to.  (Of a window whose words each cost the same under both, it is 0,
-without compressing it: so most of the work is done once for each different word.)
+two it belongs to.  Every window of a text is compressed (equal ones once while they
+are remembered), as two words can cost another difference than each alone.
 A window is a hit from a threshold on that is calibrated on labelled texts the dictionaries have not seen.  A text's score is the probability,
 from a logistic curve fitted on the same texts, given its number of hits, their
 share, and its largest difference.
@@ -53,7 +53,7 @@ BASE_BYTES, END_BYTES, PICKED, LEAST, TURNS = 64 << 10, 4 << 10, 3, 2, 6
 PAD = bytes(24)
 #: Nor does it index a dictionary's last bytes.
 BEHIND = b"\n" * 16
-#: Differences are counted from -16 to 31; what is beyond counts as these.
+#: Differences are counted from -16 to 31; what is beyond counts as these.  So many windows' are remembered.
 LOWEST, CELLS, BLOCK, PIECE, MEMO = -16, 48, 50_000, 1 << 20, 300_000
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -108,13 +108,14 @@ class Distance:
         ordinary, toxic = (np.array([len(x) for x in c.multi_compress_to_buffer(given)]) for c in self._compressors())
         return ordinary - toxic
 
-    def tells(self, words: set[str]) -> dict[str, bool]:
-        """Of each word (and others, asked for before), whether the dictionaries tell it apart."""
+    def cells(self, windows: list[str]) -> list[int]:
+        """Of each window, the place of its difference in a spectrum."""
         if len(self.memo) > MEMO:
             self.memo = {}
-        new = [w for w in words if w not in self.memo]
-        self.memo.update(zip(new, (self([_bytes(w) for w in new]) != 0).tolist()))
-        return self.memo
+        memo = self.memo
+        new = [w for w in dict.fromkeys(windows) if w not in memo]
+        memo.update(zip(new, np.clip(self([_bytes(w) for w in new]) - LOWEST, 0, CELLS - 1).tolist()))
+        return [memo[w] for w in windows]
 
 
 class Model:
@@ -124,31 +125,25 @@ class Model:
     def spectra(self, texts: list[str | None]) -> np.ndarray:
         """Of each text, how many windows have which difference."""
         out = np.zeros((len(texts), CELLS), np.int64)
-        pending: list[tuple[int, list[str]]] = []
+        pending: list[str] = []
+        owners: list[tuple[int, int]] = []  # texts, and how many of the pending windows are theirs
 
         def count() -> None:
-            tells = self.distance.tells({w for _, words in pending for w in words})
-            places: dict[str, int] = {}
-            seen = []
-            for i, words in pending:
-                some = sorted({k // WINDOW for k, w in enumerate(words) if tells[w]})
-                parts = [" ".join(words[k * WINDOW : (k + 1) * WINDOW]) for k in some]
-                seen.append((i, -(-len(words) // WINDOW) - len(some), [places.setdefault(p, len(places)) for p in parts]))
-            cells = np.clip(self.distance([_bytes(p) for p in places]) - LOWEST, 0, CELLS - 1)
-            for i, equal, at in seen:
-                out[i, -LOWEST] += equal
-                if at:
-                    out[i] += np.bincount(cells[at], minlength=CELLS)
+            cells, at = self.distance.cells(pending), 0
+            for i, n in owners:
+                out[i] += np.bincount(cells[at : at + n], minlength=CELLS)
+                at += n
             pending.clear()
+            owners.clear()
 
-        size = 0
         for i, t in enumerate(texts):
             for words in words_of(t):
-                pending.append((i, words))
-                size += len(words)
-                if size >= BLOCK:  # long texts take no more memory than others
+                if words:
+                    some = [" ".join(words[k : k + WINDOW]) for k in range(0, len(words), WINDOW)]
+                    pending += some
+                    owners.append((i, len(some)))
+                if len(pending) >= BLOCK:  # long texts take no more memory than others
                     count()
-                    size = 0
         count()
         return out
 
