@@ -160,6 +160,17 @@ def test_mixing_of_many_sources(spark, monkeypatch):
     assert exact.keys() == near.keys() and all(near[s] == pytest.approx(q, rel=1e-3) for s, q in exact.items())
 
 
+@pytest.mark.parametrize("entropy, repeats, budget", [(0.9, 100.0, None), (1.0, 1.5, 9_000)])
+def test_mixing_is_the_same_however_many_sources_are_gathered(spark, monkeypatch, entropy, repeats, budget):
+    r = random.Random(2)  # counts that differ by less than 1 in 10,000, and some twice
+    sizes = {f"s{i}": r.choice([20, 300, 30_000]) + i % 30 for i in range(40)}
+    counts = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, tokens long")
+    quotas = lambda: {x.source: tuple(x) for x in op4_mixing.quotas(counts, entropy, repeats, budget).collect()}
+    before = quotas()
+    monkeypatch.setattr(op4_mixing, "SHARES", 5)
+    assert quotas() == before and len(before) == 40
+
+
 def test_mixing_leaves_out_sources_without_tokens(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 1), (2, " ", "en", "empty", 1), (3, "c", "en", None, 1), (4, "d", "en", "", 1)], DOCS)
     got = op4_mixing.mix(docs, entropy=0.0).collect()

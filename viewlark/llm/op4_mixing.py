@@ -21,23 +21,26 @@ Scale: texts are read once, to counts of tokens.  Quotas come from sums in
 slices of the permutation (by the first digits of the md5: as many as keep a
 slice at ``SLICE`` documents, up to 65,536 slices a source), so that a source
 with most of the rows is as many slices, not one task.  The exponent depends on the
-sources' token counts alone, so what is gathered for the bisection are the
-different counts, how many sources have each, and no more than ``SHARES`` of them:
-beyond that many sources of different size, counts are first put in classes of
-equal logarithm, in steps of 1 in 10,000.
+sources' token counts alone, so what the bisection reads are the different
+counts and how many sources have each (fewer than the root of twice the tokens).
+Up to ``SHARES`` of them are gathered in one row; beyond that none are, and each
+step takes its sums from all tasks.  Both ways read every count, and their sums are
+exact ones of decimals, the same in any order: so both give the same exponent.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, table
+from .common import WORD, discard, materialise, table
 
-#: Up to so many different token counts of sources the exponent is exact.
+#: Up to so many different token counts of sources are gathered in one row.
 SHARES = 100_000
+EXACT = "decimal(37,18)"
 ENTROPY, REPEATS, BLOCK_TOKENS, SEED, STEPS, SLICE = 0.98, 4.0, 100_000, 17, 50, 250
 #: Up to so many sources their quotas are broadcast; beyond, they are joined in a shuffle, where AQE splits a large source.
 BROADCAST_SOURCES = 10_000
@@ -49,28 +52,32 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), n.alias("tokens"))
 
 
-def quotas(counts: DataFrame, entropy: float, repeats: float, budget: int | None) -> DataFrame:
-    """``source, source_tokens, docs, exponent, quota, budget``.  ``entropy`` is a part of log(number of sources)."""
-    by_source = counts.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("docs")).filter("t > 0")
-    sizes = by_source.groupBy(F.col("t").cast("double").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    step = F.lit(10_000.0)
-    classes = sizes.groupBy(F.round(F.log("t") * step).alias("c")).agg((F.sum(F.col("t") * F.col("n")) / F.sum("n")).alias("t"), F.sum("n").alias("n")).drop("c")
-    some = sizes if sizes.count() <= SHARES else classes
-    one = some.agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("rows"), F.sum(F.col("t") * F.col("n")).alias("total"), F.sum("n").alias("sources"))
+def entropy_of(z: Column, logs: Column, a: Column) -> Column:
+    return F.log(z) - a * logs / z
+
+
+def repeats_of(z: Column, low: Column, a: Column) -> Column:
+    """Quota over own tokens, at its most for the source of the smallest share, ``low``."""
+    return F.pow(low, a) / z / low * F.col("asked") / F.col("total")
+
+
+def exponent_in_row(sizes: DataFrame, entropy: float, repeats: float, budget: int | None) -> DataFrame:
+    """``exponent, total, asked, z`` (the sum of the powers) of ``t, n``: the different token counts and how many sources have each."""
+    one = sizes.agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("rows"), F.sum(F.col("t") * F.col("n")).alias("total"), F.sum("n").alias("sources"))
     one = one.filter("total > 0").select(
         "rows", "sources", "total", F.lit(budget).cast("double").alias("asked") if budget else F.col("total").alias("asked"),
         F.transform("rows", lambda r: F.struct((r["t"] / F.col("total")).alias("x"), r["n"].alias("n"))).alias("p"),
     )
-    total_of = lambda term: F.aggregate("p", F.lit(0.0), lambda acc, s: acc + s["n"] * term(s["x"]))
+
+    def total_of(term: Callable[[Column], Column]) -> Column:
+        add = lambda acc, s: (acc + (s["n"] * term(s["x"])).cast(EXACT)).cast(EXACT)
+        return F.aggregate("p", F.lit(0).cast(EXACT), add).cast("double")
 
     def entropy_at(a: Column) -> Column:
-        z = total_of(lambda x: F.pow(x, a))
-        return F.log(z) - a * total_of(lambda x: F.pow(x, a) * F.log(x)) / z
+        return entropy_of(total_of(lambda x: F.pow(x, a)), total_of(lambda x: F.pow(x, a) * F.log(x)), a)
 
     def repeats_at(a: Column) -> Column:
-        # quota over own tokens, at its most for the source of the smallest share
-        low = F.get("p", 0)["x"]
-        return F.pow(low, a) / total_of(lambda x: F.pow(x, a)) / low * F.col("asked") / F.col("total")
+        return repeats_of(total_of(lambda x: F.pow(x, a)), F.get("p", 0)["x"], a)
 
     def bisect(keep_low: object) -> Column:
         start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
@@ -86,7 +93,42 @@ def quotas(counts: DataFrame, entropy: float, repeats: float, budget: int | None
     # entropy falls with the exponent, and so do the repeats of the rarest source
     flat = F.when(entropy_at(F.lit(1.0)) >= goal, F.lit(1.0)).otherwise(bisect(lambda a: entropy_at(a) >= goal)["lo"])
     held = F.when(repeats_at(F.lit(0.0)) <= repeats, F.lit(0.0)).otherwise(bisect(lambda a: repeats_at(a) > repeats)["hi"])
-    chosen = one.withColumn("exponent", F.greatest(flat, held)).select("exponent", "total", "asked", total_of(lambda x: F.pow(x, F.col("exponent"))).alias("z"))
+    return one.withColumn("exponent", F.greatest(flat, held)).select("exponent", "total", "asked", total_of(lambda x: F.pow(x, F.col("exponent"))).alias("z"))
+
+
+def exponent_in_steps(sizes: DataFrame, entropy: float, repeats: float, budget: int | None) -> DataFrame:
+    """The same by the same bisections, a job a step for both; nothing is gathered but sums."""
+    sizes = materialise(sizes, "sizes")
+    whole = sizes.agg(F.sum(F.col("t") * F.col("n")).alias("total"), F.sum("n").alias("sources"), F.min("t").alias("t")).first()
+    total, low = whole["total"], F.lit(whole["t"] / whole["total"])
+    known = {"total": F.lit(total), "asked": F.lit(float(budget or total))}
+    x, goal = F.col("t") / F.lit(total), F.lit(entropy) * F.log(F.lit(float(whole["sources"])))
+
+    def at(flat: float, held: float) -> tuple[bool, bool, float]:
+        """Whether one exponent reaches the entropy and whether another repeats too often; the sum of the powers at the first."""
+        terms = {"z": F.pow(x, F.lit(flat)), "logs": F.pow(x, F.lit(flat)) * F.log(x), "of_held": F.pow(x, F.lit(held))}
+        sums = sizes.agg(*(F.sum((F.col("n") * term).cast(EXACT)).cast("double").alias(name) for name, term in terms.items())).withColumns(known)
+        reached = entropy_of(F.col("z"), F.col("logs"), F.lit(flat)) >= goal
+        return tuple(sums.select(reached, repeats_of(F.col("of_held"), low, F.lit(held)) > repeats, "z").first())
+
+    all_flat, too_often, _ = at(1.0, 0.0)
+    flat, held = [0.0, 1.0], [0.0, 1.0]
+    for _ in range(STEPS):
+        mid = [sum(flat) / 2, sum(held) / 2]
+        reached, over, _ = at(*mid)
+        flat[0 if reached else 1] = mid[0]
+        held[0 if over else 1] = mid[1]
+    exponent = max(1.0 if all_flat else flat[0], held[1] if too_often else 0.0)
+    known |= {"z": F.lit(at(exponent, exponent)[2]), "exponent": F.lit(exponent)}
+    discard(sizes)
+    return sizes.sparkSession.range(1).select(*(value.alias(name) for name, value in known.items()))
+
+
+def quotas(counts: DataFrame, entropy: float, repeats: float, budget: int | None) -> DataFrame:
+    """``source, source_tokens, docs, exponent, quota, budget``.  ``entropy`` is a part of log(number of sources)."""
+    by_source = counts.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("docs")).filter("t > 0")
+    sizes = by_source.groupBy(F.col("t").cast("double").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    chosen = (exponent_in_row if sizes.count() <= SHARES else exponent_in_steps)(sizes, entropy, repeats, budget)
     return by_source.crossJoin(F.broadcast(chosen)).select(  # with its one row
         "source", F.col("t").alias("source_tokens"), "docs", "exponent",
         # in parts of the own tokens, to nine digits: an error in the last ones must not begin another epoch
