@@ -293,6 +293,33 @@ def test_slot_heavy_windows_in_sql_and_query(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == sorted(want) and {(r[0], r[1]) for r in want} >= {(1, 1), (2, 2)}
 
 
+def test_query_looks_at_all_readings_and_gives_the_rows_of_its_sql(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    words = ["Alice", "bob", "Bob", "Zoe", "has", "12", "1,200", "5.50", "7", "km", "apples", "And", "of", "run.", "sat;", "ran,", "He", '"Mary']
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    other = {"Alice": "Carol", "Bob": "Dan", "12": "99", "1,200": "7", "5.50": "2,000"}
+    vary = lambda t: r.choice([t, t.lower(), " ".join(other.get(w, w) for w in t.split())])
+    items = ["John has 5 apples and buys 3 more. How many now?"] + [text(r.choice([2, 4, 6, 12, 13, 20])) for _ in range(15)]
+    docs = ["Mary has 7 apples and buys 2 more. How many now?"] + [f"{text(4)} {vary(r.choice(items))} {text(4)}" for _ in range(80)]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bench(spark, *items).write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    looked, whole = [], op8_decontamination.matches
+    monkeypatch.setattr(op8_decontamination, "matches", lambda *a, **k: looked.append(whole(*a, **k)) or looked[-1])
+    df = op8_decontamination.query(spark, str(tmp_path))
+    want = sorted(c.execute(f"SELECT {', '.join(df.columns)} FROM ({op8_decontamination.ORACLE_SQL})").fetchall())
+    assert sorted(map(tuple, df.collect())) == want
+    # what the query looked at holds its rows, and pairs that only other readings show
+    rows = looked[0].collect()
+    assert {(x.doc_id, x.item_id) for x in rows} > {x[:2] for x in want} and (0, 0) in {(x.doc_id, x.item_id) for x in rows} - {x[:2] for x in want}
+    assert sorted((x.doc_id, x.item_id, x.plain_windows, x.plain_exact, x.plain_first) for x in rows if x.plain_windows) == want
+    assert all(x.n_windows >= x.plain_windows and x.n_exact >= x.plain_exact and (x.plain_first is None) == (x.plain_windows == 0) for x in rows)
+    monkeypatch.setattr(op8_decontamination, "BROADCAST_WINDOWS", 0)
+    assert rows_of(whole(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark")))) == sorted(map(str, rows))
+
+
 # ---- licences
 
 

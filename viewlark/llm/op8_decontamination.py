@@ -4,8 +4,9 @@ A text becomes words (runs of letters, marks and digits, in lower case).  In its
 *template* a number, a name and a unit behind a number are typed placeholders.  A
 name is a capitalised word inside a sentence, and, in a reading of its own, any
 capitalised word, as a name can start a sentence; 1,200 and 5.50 are read as two
-words and as one.  (The SQL has neither; ``query`` gives the SQL's rows, ``matches``
-and ``decontaminate`` those of all readings, which hold them.)  Windows of ``words`` template words of
+words and as one.  (The SQL has neither.  Every call looks at all readings; ``matches`` also
+tells of the *plain* windows, those that the SQL's readings show, and ``query`` takes its rows from these.)
+Windows of ``words`` template words of
 all texts meet those of the benchmark in a hash join; a hit counts if the slots
 are consistent: equal values stay equal and different ones stay different, so a
 question with other numbers and names is caught, and a chance pattern is not.
@@ -53,32 +54,31 @@ MARK = r"([\p{Ll}\p{Nd},;:] )(\p{Lu}\p{Ll})"
 GLUE = r"(\p{Nd})(\p{L})"
 BREAK = r"[^\p{L}\p{M}\p{N}\x01]+"
 
-#: Which words are names: any capitalised ones, those inside a sentence, none.
-READINGS = ["any", "inside", "none"]
+#: Which words are names: those inside a sentence, any capitalised ones, none.
+READINGS = ["inside", "any", "none"]
 
 
 #: A capital letter at the start of a word, and a point or comma inside a number; what the SQL does not know of is marked apart.
 CAPITAL = r"(?=\p{Lu})(?<![\p{L}\p{M}\p{N}\x01])(\p{Lu}\p{Ll})"
 POINT = r"[.,](?<=\p{Nd}.)(?=\p{Nd})"
 FIRST, MORE = "\x04", "\x05"
-KEPT = r"[^\p{L}\p{M}\p{N}\x01\x04\x05]+"
+KEPT = r"\p{L}\p{M}\p{N}\x01\x04\x05"
+#: What is between words, but for single blanks, which can stay.
+BETWEEN = rf"(?:[^ {KEPT}]| (?=[^{KEPT}]))[^{KEPT}]*"
 
 
-def words_of(text: Column, wide: bool = True) -> Column:
-    """The words in one string, with a blank between; names are marked, and if ``wide`` other capitalised words and later parts of a number are, too."""
+def words_of(text: Column) -> Column:
+    """The words in one string, with a blank between; names, other capitalised words and later parts of a number are marked."""
     text = F.coalesce(text, F.lit(""))
     text = F.when(text.contains(FIRST) | text.contains(MORE), F.translate(text, FIRST + MORE, "  ")).otherwise(text)
     marked = F.regexp_replace(text, MARK, f"$1{NAME}$2")
-    if wide:
-        marked = F.regexp_replace(F.regexp_replace(marked, CAPITAL, f"{FIRST}$1"), POINT, f" {MORE}")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(marked), GLUE, "$1 $2"), KEPT, " "))
+    marked = F.regexp_replace(F.regexp_replace(marked, CAPITAL, f"{FIRST}$1"), POINT, f" {MORE}")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(marked), GLUE, "$1 $2"), BETWEEN, " "))
 
 
-def forms(rows: DataFrame, key: str, text: str, wide: bool = True) -> DataFrame:
-    """``key, w, whole``: the words of each text, and if ``wide`` again with 1,200 or 5.50 as one word (``whole``) where it has any such."""
-    t = rows.select(F.col(key).alias("key"), words_of(F.col(text), wide).alias("w"))
-    if not wide:
-        return t.withColumn("whole", F.lit(False))
+def forms(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, w, whole``: the words of each text, and again with 1,200 or 5.50 as one word (``whole``) where it has any such."""
+    t = rows.select(F.col(key).alias("key"), words_of(F.col(text)).alias("w"))
     some = F.when(F.col("w").contains(MORE), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     t = t.select("key", "w", F.explode(some).alias("whole"))
     whole = F.when(F.col("whole"), F.replace("w", F.lit(f" {MORE}"), F.lit(MORE))).otherwise(F.replace("w", F.lit(MORE), F.lit("")))
@@ -90,10 +90,14 @@ def words_read(words: Column, names: str) -> Column:
     return {"any": F.translate(words, FIRST, NAME), "inside": F.replace(words, F.lit(FIRST), F.lit("")), "none": F.translate(words, NAME + FIRST, "")}[names]
 
 
+def numbered(words: Column) -> Column:
+    """The words with numbers as placeholders."""
+    return F.regexp_replace(words, rf"(?=\p{{Nd}})(?<![^ ])\p{{Nd}}[\p{{Nd}}{MORE}]*(?![^ ])", NUMBER)
+
+
 def template_of(words: Column, names: str) -> Column:
-    """The same string with placeholders; its words are one to one with ``words``."""
-    out = F.regexp_replace(words_read(words, names), rf"(?=\p{{Nd}})(?<![^ ])\p{{Nd}}[\p{{Nd}}{MORE}]*(?![^ ])", NUMBER)
-    out = F.regexp_replace(out, f"{NUMBER} (?:{'|'.join(UNITS)})(?![^ ])", f"{NUMBER} {UNIT}")
+    """``numbered`` words with all placeholders, one to one."""
+    out = F.regexp_replace(words_read(words, names), f"{NUMBER} (?:{'|'.join(UNITS)})(?![^ ])", f"{NUMBER} {UNIT}")
     return out if names == "none" else F.regexp_replace(out, f"{NAME}[^ ]*", NAME)
 
 
@@ -102,25 +106,46 @@ def anchor(n: int, t: Column, i: Column) -> Column:
     return F.xxhash64(F.lit(n), F.get(t, i), F.get(t, i + n // 2), F.get(t, i + (n - 1)))
 
 
-def windows(rows: DataFrame, lengths: list[int], readings: list[str], least: int, bits: list[int] | None = None, whole_below: int = 0) -> DataFrame:
-    """``key, pos, n, hash, anchor, slots`` of all windows of ``forms``, or of those whose anchor and hash are in ``bits``.
+def windows(rows: DataFrame, lengths: list[int], plain: list[str], least: int, bits: list[int] | None = None, whole_below: int = 0) -> DataFrame:
+    """``key, pos, n, hash, anchor, slots, plain`` of all windows of ``forms``, or of those whose anchor and hash are in ``bits``.
 
     A reading adds its windows where they differ from the last one's; lengths
     under ``whole_below`` are for texts of that length.  Places are those of the
-    words with 1,200 as two.
+    words with 1,200 as two.  A window is plain if the readings ``plain``, of which
+    ``inside`` is one, show it in words with 1,200 as two.
     """
-    #: What tells a reading from the one before; without that it has no templates.
-    telling = {"any": None, "inside": FIRST, "none": NAME}
-    given = {r: F.split(template_of(F.col("w"), r), " ") for r in readings}
-    told = {r: given[r] if r == readings[0] else F.when(F.col("w").contains(telling[r]), given[r]) for r in readings}
-    t = rows.select("key", "whole", F.split("w", " ").alias("w"), *(told[r].alias(f"t_{r}") for r in readings))
+    #: What tells a reading from the first; without that it has no templates.
+    telling = {"inside": None, "any": FIRST, "none": NAME}
+    rows = rows.withColumn("numbered", numbered(F.col("w")))  # once for both readings that keep the names' marks
+    given = {r: F.split(template_of(numbered(words_read(F.col("w"), r)) if r == "none" else F.col("numbered"), r), " ") for r in READINGS}
+    told = {r: F.when(F.col("w").contains(telling[r]), given[r]) if telling[r] else given[r] for r in READINGS}
+    t = rows.select("key", "whole", F.split("w", " ").alias("w"), *(told[r].alias(f"t_{r}") for r in READINGS))
     held = F.from_json(F.lit(str(bits)), "array<bigint>") if bits else None  # folded to one literal
-    size = F.size(f"t_{readings[0]}")
+    size = F.size("t_inside")
 
     def known(a: Column) -> Column:
         word = F.get(held, F.shiftrightunsigned(a, 6).bitwiseAND(F.lit(len(bits) - 1)).cast("int"))
         return F.getbit(word, a.bitwiseAND(F.lit(63)).cast("int")) == 1
 
+    def places(n: int) -> Column:
+        return F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))
+
+    def known_inside(n: int) -> Column:
+        """Places whose anchor in the first reading is held; each is hashed once (a lambda's argument used twice would be made twice)."""
+        anchors = F.transform(places(n), lambda i: anchor(n, F.col("t_inside"), i))
+        return F.filter(F.transform(anchors, lambda a, i: F.when(known(a), i)), lambda i: i.isNotNull())
+
+    def other_words(r: str) -> Column:
+        """Places of the words whose template is not the first reading's: for ``any``, marked ones."""
+        if r == "any":
+            found = F.when(F.col("t_any").isNotNull(), F.transform("w", lambda x, i: F.when(x.startswith(FIRST), i)))
+        else:
+            found = F.transform(f"t_{r}", lambda x, i: F.when(x != F.get("t_inside", i), i))
+        return F.filter(found, lambda i: i.isNotNull())
+
+    if bits:
+        t = t.select("*", *(known_inside(n).alias(f"known_{n}") for n in lengths), *(other_words(r).alias(f"other_{r}") for r in READINGS[1:]))
+
     def before(i: Column) -> Column:
         own = F.array_join(F.slice("w", 1, i), "")
         return F.when(F.col("whole"), i + F.length(own) - F.length(F.replace(own, F.lit(MORE), F.lit("")))).otherwise(i)
@@ -137,25 +162,36 @@ def windows(rows: DataFrame, lengths: list[int], readings: list[str], least: int
             few = F.size(F.filter(own, lambda x: ~x.isin(NAME, NUMBER, UNIT))) < F.ceil(F.lit(n) / 2)
             return F.xxhash64(own, F.when(few, slots(r, i)))  # mostly slots: only equal values will do
 
+        def shown(r: str, i: Column) -> Column:
+            return F.lit(True) if r in plain else F.slice(f"t_{r}", i + 1, n) == F.slice("t_inside", i + 1, n)
+
         def one(r: str, i: Column) -> Column:
             return F.struct(
                 before(i).alias("pos"), F.lit(n).alias("n"), hashed(r, i).alias("hash"),
-                anchor(n, F.col(f"t_{r}"), i).alias("anchor"), slots(r, i).alias("slots"),
+                anchor(n, F.col(f"t_{r}"), i).alias("anchor"), slots(r, i).alias("slots"), (~F.col("whole") & shown(r, i)).alias("plain"),
             )
 
         def held_whole(r: str, i: Column) -> Column:
-            return known(anchor(n, F.col(f"t_{r}"), i)) & known(hashed(r, i))
+            of_hash = known(hashed(r, i))
+            return of_hash if r == READINGS[0] else F.exists(F.array(anchor(n, F.col(f"t_{r}"), i)), known) & of_hash
+
+        def to_look_at(r: str) -> Column:
+            """Places that can have a held anchor in this reading: it is the first reading's, or has another word in one of its three places."""
+            if r == READINGS[0]:
+                return F.col(f"known_{n}")
+            moved = F.flatten(F.transform(f"other_{r}", lambda j: F.array(*(j - by for by in sorted({0, n // 2, n - 1})))))
+            return F.concat(f"known_{n}", F.filter(moved, lambda i: (i >= 0) & (i <= size - n)))
 
         def differs(r: str, others: list[str], i: Column) -> Column:
             own = F.slice(f"t_{r}", i + 1, n)
             return reduce(and_, (F.coalesce(own != F.slice(f"t_{o}", i + 1, n), F.lit(True)) for o in others))
 
-        places, parts = F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), []
-        for k, r in enumerate(readings):
+        parts = []
+        for k, r in enumerate(READINGS):
             if bits:
-                own = F.filter(places, partial(held_whole, r))
+                own = F.array_distinct(F.filter(to_look_at(r), partial(held_whole, r)))
             else:
-                own = F.filter(places, partial(differs, r, readings[:k])) if k else places
+                own = F.filter(places(n), partial(differs, r, READINGS[:k])) if k else places(n)
             parts.append(F.when(F.col(f"t_{r}").isNotNull(), F.transform(own, partial(one, r))).otherwise(F.array()))
         return F.when(size == n if n < whole_below else size >= n, F.concat(*parts)).otherwise(F.array())
 
@@ -163,13 +199,13 @@ def windows(rows: DataFrame, lengths: list[int], readings: list[str], least: int
     return t.select("key", F.inline(F.concat(*map(every, lengths)) if len(lengths) > 1 else every(lengths[0])))
 
 
-def benchmark_windows(bench: DataFrame, words: int = WORDS, least: int = LEAST, wide: bool = True) -> tuple[DataFrame, list[int]]:
+def benchmark_windows(bench: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[DataFrame, list[int]]:
     """Windows of the benchmark that are specific enough, written once, and their lengths."""
-    sized = forms(bench, "item_id", "text", wide)
+    sized = forms(bench, "item_id", "text")
     n = F.size(F.split("w", " "))
     lengths = [*sorted(r[0] for r in sized.select("w", n.alias("n")).filter((F.col("w") != "") & (F.col("n") < words)).select("n").distinct().collect()), words]
-    parts = windows(sized.filter(F.col("w") != ""), lengths, READINGS if wide else READINGS[1:], least, whole_below=words)
-    found = parts.filter(F.col("n") > F.size("slots")).distinct()
+    parts = windows(sized.filter(F.col("w") != ""), lengths, ["inside", "none"], least, whole_below=words)
+    found = parts.filter(F.col("n") > F.size("slots")).groupBy("key", "pos", "n", "hash", "anchor", "slots").agg(F.max("plain").alias("item_plain"))
     return materialise(found.withColumnsRenamed({"key": "item_id", "pos": "item_pos", "slots": "item_slots"}), "benchmark"), lengths
 
 
@@ -191,23 +227,29 @@ def consistent(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & (pairs == F.size(F.array_distinct(a))) & (pairs == F.size(F.array_distinct(b)))
 
 
-def matches(docs: DataFrame, bench: DataFrame, words: int = WORDS, least: int = LEAST, wide: bool = True) -> DataFrame:
-    """``doc_id, item_id, n_windows, n_exact, first_word`` of each document and item that share consistent windows; not ``wide``: as in the SQL."""
-    of_bench, lengths = benchmark_windows(bench, words, least, wide)
+def matches(docs: DataFrame, bench: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """``doc_id, item_id, n_windows, n_exact, first_word`` of each document and item that share consistent windows.
+
+    ``plain_windows, plain_exact, plain_first`` are the same of the plain windows: 0, 0 and null where only other readings show any.
+    """
+    of_bench, lengths = benchmark_windows(bench, words, least)
     size = of_bench.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("item_slots", " "))), F.lit(0)).alias("bytes")).first()
     count = size["n"]
     small = 0 < count <= BROADCAST_WINDOWS and size["bytes"] <= BROADCAST_BYTES
     side = F.broadcast(of_bench.drop("anchor")) if small else of_bench.drop("anchor")
     bits = anchor_bits(of_bench, count) if small else None
     empty = F.array().cast("array<string>")
-    of_docs = windows(forms(docs, "doc_id", "text", wide), lengths, READINGS if wide else READINGS[1:2], least, bits)
+    of_docs = windows(forms(docs, "doc_id", "text"), lengths, ["inside"], least, bits)
     hits = of_docs.join(side, ["n", "hash"]).filter(consistent(F.col("item_slots"), F.col("slots")))
-    same = F.coalesce("slots", empty) == F.coalesce("item_slots", empty)
+    same, plain = F.coalesce("slots", empty) == F.coalesce("item_slots", empty), F.col("plain") & F.col("item_plain")
     return (
-        hits.groupBy(F.col("key").alias("doc_id"), "item_id", "pos").agg(F.max(same).alias("same"))
+        hits.groupBy(F.col("key").alias("doc_id"), "item_id", "pos")
+        .agg(F.max(same).alias("same"), F.max(plain).alias("plain"), F.max(plain & same).alias("plain_same"))
         .groupBy("doc_id", "item_id")
         .agg(
             F.count(F.lit(1)).alias("n_windows"), F.count_if("same").alias("n_exact"), F.min("pos").cast("long").alias("first_word"),
+            F.count_if("plain").alias("plain_windows"), F.count_if("plain_same").alias("plain_exact"),
+            F.min(F.when(F.col("plain"), F.col("pos"))).cast("long").alias("plain_first"),
         )
     )
 
@@ -225,8 +267,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, words: int = WORDS, least:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL's rows: names inside a sentence only, each part of a number a word; ``decontaminate`` reads more."""
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), wide=False)
+    """The SQL's rows, from those of all readings: the plain windows (names inside a sentence only, each part of a number a word)."""
+    found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter("plain_windows > 0")
+    return found.select(
+        "doc_id", "item_id", F.col("plain_windows").alias("n_windows"), F.col("plain_exact").alias("n_exact"), F.col("plain_first").alias("first_word")
+    )
 
 
 def oracle(documents: str = "documents") -> str:
