@@ -34,7 +34,7 @@ joined in a shuffle.  Both ways give the same rows.
 from __future__ import annotations
 
 from functools import partial, reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,12 +77,15 @@ def words_of(text: Column) -> Column:
 
 
 def forms(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, w, whole``: the words of each text, and again with 1,200 or 5.50 as one word (``whole``) where it has any such."""
-    t = rows.select(F.col(key).alias("key"), words_of(F.col(text)).alias("w"))
+    """``key, w, odd, whole``: the words of each text, and again with 1,200 or 5.50 as one word (``whole``) where it has any such.
+
+    A text is ``odd`` if it has the mark of a name itself.
+    """
+    t = rows.select(F.col(key).alias("key"), words_of(F.col(text)).alias("w"), F.coalesce(F.col(text).contains(NAME), F.lit(False)).alias("odd"))
     some = F.when(F.col("w").contains(MORE), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    t = t.select("key", "w", F.explode(some).alias("whole"))
+    t = t.select("key", "w", "odd", F.explode(some).alias("whole"))
     whole = F.when(F.col("whole"), F.replace("w", F.lit(f" {MORE}"), F.lit(MORE))).otherwise(F.replace("w", F.lit(MORE), F.lit("")))
-    return t.select("key", whole.alias("w"), "whole")
+    return t.select("key", whole.alias("w"), "odd", "whole")
 
 
 def words_read(words: Column, names: str) -> Column:
@@ -95,12 +98,32 @@ def numbered(words: Column) -> Column:
     return F.regexp_replace(words, rf"(?=\p{{Nd}})(?<![^ ])\p{{Nd}}[\p{{Nd}}{MORE}]*(?![^ ])", NUMBER)
 
 
+def with_units(words: Column) -> Column:
+    """``numbered`` words with units as placeholders."""
+    return F.regexp_replace(words, f"{NUMBER} (?:{'|'.join(UNITS)})(?![^ ])", f"{NUMBER} {UNIT}")
+
+
 def template_of(words: Column, names: str) -> Column:
     """``numbered`` words with all placeholders, one to one."""
-    out = F.regexp_replace(words_read(words, names), f"{NUMBER} (?:{'|'.join(UNITS)})(?![^ ])", f"{NUMBER} {UNIT}")
+    out = with_units(words_read(words, names))
     return out if names == "none" else F.regexp_replace(out, f"{NAME}[^ ]*", NAME)
 
 
+def with_templates(rows: DataFrame) -> DataFrame:
+    """``forms`` with ``template_of`` of each reading, as strings; what the readings share is made once."""
+    t = rows.withColumn("numbered", numbered(F.col("w")))
+    t = t.withColumn("united", F.when(F.col("numbered").contains(NUMBER), with_units(F.col("numbered"))).otherwise(F.col("numbered")))
+    t = t.withColumn("named", F.when(F.col("united").contains(NAME), F.regexp_replace("united", f"{NAME}[^ ]*", NAME)).otherwise(F.col("united")))
+    # a marked word is a unit in the readings that don't have the mark
+    again = lambda out, *marks: F.when(reduce(or_, (F.col("united").contains(f"{NUMBER} {m}") for m in marks)), with_units(out)).otherwise(out)
+    t = t.select(
+        "*", F.replace("named", F.lit(FIRST), F.lit("")).alias("inside"), F.translate("united", NAME + FIRST, "").alias("none"),
+        F.when(F.col("named").contains(FIRST), F.regexp_replace("named", f"{FIRST}[^ ]*", NAME)).otherwise(F.col("named")).alias("any"),
+    )
+    none = F.when(F.col("odd"), template_of(numbered(words_read(F.col("w"), "none")), "none")).otherwise(again(F.col("none"), NAME, FIRST))
+    return t.select("key", "w", "whole", again(F.col("inside"), FIRST).alias("inside"), "any", none.alias("none"))
+
+
 def anchor(n: int, t: Column, i: Column) -> Column:
     """A hash of three words of the window at ``i``: what has none of the benchmark's anchors is none of its windows."""
     return F.xxhash64(F.lit(n), F.get(t, i), F.get(t, i + n // 2), F.get(t, i + (n - 1)))
@@ -116,10 +139,9 @@ def windows(rows: DataFrame, lengths: list[int], plain: list[str], least: int, b
     """
     #: What tells a reading from the first; without that it has no templates.
     telling = {"inside": None, "any": FIRST, "none": NAME}
-    rows = rows.withColumn("numbered", numbered(F.col("w")))  # once for both readings that keep the names' marks
-    given = {r: F.split(template_of(numbered(words_read(F.col("w"), r)) if r == "none" else F.col("numbered"), r), " ") for r in READINGS}
+    given = {r: F.split(r, " ") for r in READINGS}
     told = {r: F.when(F.col("w").contains(telling[r]), given[r]) if telling[r] else given[r] for r in READINGS}
-    t = rows.select("key", "whole", F.split("w", " ").alias("w"), *(told[r].alias(f"t_{r}") for r in READINGS))
+    t = with_templates(rows).select("key", "whole", F.split("w", " ").alias("w"), *(told[r].alias(f"t_{r}") for r in READINGS))
     held = F.from_json(F.lit(str(bits)), "array<bigint>") if bits else None  # folded to one literal
     size = F.size("t_inside")
 
@@ -127,60 +149,51 @@ def windows(rows: DataFrame, lengths: list[int], plain: list[str], least: int, b
         word = F.get(held, F.shiftrightunsigned(a, 6).bitwiseAND(F.lit(len(bits) - 1)).cast("int"))
         return F.getbit(word, a.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def places(n: int) -> Column:
-        return F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))
+    def before(i: Column) -> Column:
+        own = F.array_join(F.slice("w", 1, i), "")
+        return F.when(F.col("whole"), i + F.length(own) - F.length(F.replace(own, F.lit(MORE), F.lit("")))).otherwise(i)
 
-    def known_inside(n: int) -> Column:
-        """Places whose anchor in the first reading is held; each is hashed once (a lambda's argument used twice would be made twice)."""
-        anchors = F.transform(places(n), lambda i: anchor(n, F.col("t_inside"), i))
-        return F.filter(F.transform(anchors, lambda a, i: F.when(known(a), i)), lambda i: i.isNotNull())
+    def slots(r: str, w: Column, own: Column) -> Column:
+        pairs = F.zip_with(w, own, lambda w, x: F.when(words_read(w, r) != x, words_read(w, r)))
+        return F.filter(pairs, lambda x: x.isNotNull())
 
-    def other_words(r: str) -> Column:
-        """Places of the words whose template is not the first reading's: for ``any``, marked ones."""
-        if r == "any":
-            found = F.when(F.col("t_any").isNotNull(), F.transform("w", lambda x, i: F.when(x.startswith(FIRST), i)))
-        else:
-            found = F.transform(f"t_{r}", lambda x, i: F.when(x != F.get("t_inside", i), i))
-        return F.filter(found, lambda i: i.isNotNull())
+    def few(n: int, own: Column) -> Column:
+        return F.size(reduce(F.array_remove, (NAME, NUMBER, UNIT), own)) < (n + 1) // 2
 
-    if bits:
-        t = t.select("*", *(known_inside(n).alias(f"known_{n}") for n in lengths), *(other_words(r).alias(f"other_{r}") for r in READINGS[1:]))
+    def hashed(r: str, n: int, w: Column, own: Column) -> Column:
+        if n < least:
+            return F.xxhash64(own, slots(r, w, own))
+        return F.xxhash64(own, F.when(few(n, own), slots(r, w, own)))  # mostly slots: only equal values will do
 
-    def before(i: Column) -> Column:
-        own = F.array_join(F.slice("w", 1, i), "")
-        return F.when(F.col("whole"), i + F.length(own) - F.length(F.replace(own, F.lit(MORE), F.lit("")))).otherwise(i)
+    def can_be_held(n: int, own: Column) -> Column:
+        """As far as it can be told without the slots."""
+        return F.lit(True) if n < least else few(n, own) | known(F.xxhash64(own, F.lit(None).cast("array<string>")))
 
-    def every(n: int) -> Column:
-        def slots(r: str, i: Column) -> Column:
-            pairs = F.zip_with(F.slice("w", i + 1, n), F.slice(f"t_{r}", i + 1, n), lambda w, x: F.when(words_read(w, r) != x, words_read(w, r)))
-            return F.filter(pairs, lambda x: x.isNotNull())
+    def one(r: str, n: int, pos: Column, w: Column, own: Column, first: Column) -> Column:
+        """A window of the words ``w``, which are ``own`` in this reading and ``first`` in the first one."""
+        return F.struct(
+            pos.alias("pos"), F.lit(n).alias("n"), hashed(r, n, w, own).alias("hash"), anchor(n, own, F.lit(0)).alias("anchor"),
+            slots(r, w, own).alias("slots"), (~F.col("whole") & (F.lit(True) if r in plain else own == first)).alias("plain"),
+        )
 
-        def hashed(r: str, i: Column) -> Column:
-            own = F.slice(f"t_{r}", i + 1, n)
-            if n < least:
-                return F.xxhash64(own, slots(r, i))
-            few = F.size(F.filter(own, lambda x: ~x.isin(NAME, NUMBER, UNIT))) < F.ceil(F.lit(n) / 2)
-            return F.xxhash64(own, F.when(few, slots(r, i)))  # mostly slots: only equal values will do
-
-        def shown(r: str, i: Column) -> Column:
-            return F.lit(True) if r in plain else F.slice(f"t_{r}", i + 1, n) == F.slice("t_inside", i + 1, n)
-
-        def one(r: str, i: Column) -> Column:
-            return F.struct(
-                before(i).alias("pos"), F.lit(n).alias("n"), hashed(r, i).alias("hash"),
-                anchor(n, F.col(f"t_{r}"), i).alias("anchor"), slots(r, i).alias("slots"), (~F.col("whole") & shown(r, i)).alias("plain"),
-            )
-
-        def held_whole(r: str, i: Column) -> Column:
-            of_hash = known(hashed(r, i))
-            return of_hash if r == READINGS[0] else F.exists(F.array(anchor(n, F.col(f"t_{r}"), i)), known) & of_hash
-
-        def to_look_at(r: str) -> Column:
-            """Places that can have a held anchor in this reading: it is the first reading's, or has another word in one of its three places."""
-            if r == READINGS[0]:
-                return F.col(f"known_{n}")
-            moved = F.flatten(F.transform(f"other_{r}", lambda j: F.array(*(j - by for by in sorted({0, n // 2, n - 1})))))
-            return F.concat(f"known_{n}", F.filter(moved, lambda i: (i >= 0) & (i <= size - n)))
+    if bits:
+        # a row for each place and, behind it, one for each length and reading: generated code, as lambdas over arrays are not, and one copy of the bits
+        # (outer: else Spark puts a filter on the array's size below, which makes all templates a second time; it never is empty)
+        kinds, i = [(n, r) for n in lengths for r in READINGS], F.col("i")
+        of_kind = lambda given: reduce(lambda rest, k: F.when(F.col("kind") == k, given[k]).otherwise(rest), range(len(kinds) - 1), given[-1])
+        ways = F.array(*(F.when((i <= size - n) & F.col(f"t_{r}").isNotNull(), anchor(n, F.col(f"t_{r}"), i)) for n, r in kinds))
+        t = t.select("*", F.posexplode_outer("t_inside").alias("i", "word")).select("key", "whole", "w", *(f"t_{r}" for r in READINGS), "i", F.posexplode(ways).alias("kind", "known"))
+        cut = lambda c, n: F.slice(c, i + 1, n)  # noqa: E731  not the whole text's words for each window
+        first, w = (of_kind([cut(c, n) for n, _ in kinds]) for c in ("t_inside", "w"))
+        own = of_kind([cut(f"t_{r}", n) for n, r in kinds])
+        t = t.filter(known(F.col("known"))).select("key", "whole", "kind", before(i).alias("pos"), w.alias("w"), own.alias("own"), first.alias("first"))
+        t = t.filter(of_kind([can_be_held(n, F.col("own")) for n, _ in kinds]))
+        found = of_kind([one(r, n, *map(F.col, ("pos", "w", "own", "first"))) for n, r in kinds])
+        return t.select("key", F.explode(F.array(found)).alias("found")).filter(known(F.col("found.hash"))).select("key", "found.*")
+
+    def every(n: int) -> Column:
+        def at(r: str, i: Column) -> Column:
+            return one(r, n, before(i), *(F.slice(c, i + 1, n) for c in ("w", f"t_{r}", "t_inside")))
 
         def differs(r: str, others: list[str], i: Column) -> Column:
             own = F.slice(f"t_{r}", i + 1, n)
@@ -188,11 +201,9 @@ def windows(rows: DataFrame, lengths: list[int], plain: list[str], least: int, b
 
         parts = []
         for k, r in enumerate(READINGS):
-            if bits:
-                own = F.array_distinct(F.filter(to_look_at(r), partial(held_whole, r)))
-            else:
-                own = F.filter(places(n), partial(differs, r, READINGS[:k])) if k else places(n)
-            parts.append(F.when(F.col(f"t_{r}").isNotNull(), F.transform(own, partial(one, r))).otherwise(F.array()))
+            places = F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))
+            own = F.filter(places, partial(differs, r, READINGS[:k])) if k else places
+            parts.append(F.when(F.col(f"t_{r}").isNotNull(), F.transform(own, partial(at, r))).otherwise(F.array()))
         return F.when(size == n if n < whole_below else size >= n, F.concat(*parts)).otherwise(F.array())
 
     # one pass, whatever the number of lengths
